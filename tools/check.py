@@ -76,7 +76,7 @@ def main() -> int:
     from voxmart.session import build_session
 
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
         "spark.sql.artifact.isolation.enabled": "false"})
     spark.sparkContext.setLogLevel("OFF")
     queries, oracles = registry.load()

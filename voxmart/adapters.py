@@ -54,7 +54,7 @@ MENTIONS = [
     ("concat('https://posts.example/', CAST(event_id AS STRING))", "url"),
     ("CASE WHEN event_id % 8 < 5 THEN 'lexicon' WHEN event_id % 8 < 7 THEN 'gemini-2.5-flash' "
      "ELSE 'gemini-2.5-flash-lite' END", "model"),
-    ("CASE WHEN event_id % 8 < 5 THEN 0.375 WHEN event_id % 8 < 7 THEN 0.75 ELSE 0.875 END", "confidence"),
+    ("CAST(CASE WHEN event_id % 8 < 5 THEN 3 WHEN event_id % 8 < 7 THEN 6 ELSE 7 END AS DOUBLE) / 8.0", "confidence"),
     ("CASE event_id % 4 WHEN 0 THEN 'joy' WHEN 1 THEN 'anger' WHEN 2 THEN 'fear' ELSE 'neutral' END", "emotion"),
     ("CAST(event_id % 5 + 1 AS INT)", "emotion_intensity"),
     ("CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END", "sarcasm"),

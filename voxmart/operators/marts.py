@@ -443,7 +443,7 @@ def thread_summary(rows: DataFrame, answered: DataFrame | None = None) -> DataFr
 
 def source_coverage(posts: DataFrame, analysis: DataFrame) -> DataFrame:
     scored = analysis.select("source_id", "score", F.lit(1).alias("_hit"))
-    return posts.join(scored, "source_id", "left").groupBy("source").agg(
+    return posts.select("source_id", "source").join(scored, "source_id", "left").groupBy("source").agg(
         _n().alias("collected"), F.count("_hit").alias("classified"),
         (_n() - F.count("_hit")).alias("unclassified"), _avg().alias("avg_sentiment"))
 
