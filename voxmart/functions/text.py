@@ -7,6 +7,7 @@ every script, not only ASCII.
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,11 +28,8 @@ HINGLISH = ("hai", "nahi", "nahin", "kar", "karo", "kyun", "kyu", "mera", "meri"
 PROMO = ("subscribe", "giveaway", "buy now", "limited offer", "click here", "join now",
          "t.me/", "whatsapp +", "dm for", "promo code", "earn money", "free recharge")
 HTML_TAG = r"<[^>]+>"
-# Named character references decoded without a lookup of the full table.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-            ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"),
-            ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"), ("&ldquo;", "\u201c"),
-            ("&rdquo;", "\u201d"), ("&eacute;", "\u00e9"), ("&copy;", "\u00a9"))
+# Named character references of HTML 4, as the standard library lists them.
+ENTITIES = {f"&{name};": chr(code) for name, code in {**name2codepoint, "apos": 39}.items()}
 
 
 def contains_any(text: Column, needles) -> Column:
@@ -114,7 +112,7 @@ def unescape_html(text: Column) -> Column:
     References are split off once and mapped one by one, so ``&amp;lt;`` yields ``&lt;``.
     """
     ref = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
-    named = F.create_map(*[F.lit(v) for kv in (*ENTITIES, ("&amp;", "&")) for v in kv])
+    named = F.create_map(*[F.lit(v) for kv in ENTITIES.items() for v in kv])
 
     def from_code_point(code: Column) -> Column:
         # Beyond Latin-1, ``char`` cannot help: build the UTF-8 bytes from the code point.
