@@ -6,6 +6,7 @@ every script, not only ASCII.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -18,6 +19,8 @@ from voxmart.config import THRESHOLDS
 URL = r"(?U)https?://\S+"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 RETWEET_PREFIX = r"(?U)^[\s\x1c-\x1f]*RT\b[:,]?"
+WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+         "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 ZERO_WIDTH = "[\u200b\ufeff]"
 HASH_DROP = "[^a-z0-9\u0900-\u097f ]"
 DEVANAGARI = "[\u0900-\u097f]"
@@ -44,7 +47,7 @@ def squeeze(text: Column) -> Column:
 
 def strip_edges(text: Column) -> Column:
     """Trim white space of every kind from both ends, keeping the inside."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -112,41 +115,23 @@ def unescape_html(text: Column) -> Column:
     References are split off once and mapped one by one, so ``&amp;lt;`` yields ``&lt;``.
     """
     ref = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
-    named = F.create_map(*[F.lit(v) for kv in ENTITIES.items() for v in kv])
-
-    def from_code_point(code: Column) -> Column:
-        # Beyond Latin-1, ``char`` cannot help: build the UTF-8 bytes from the code point.
-        def byte(value):
-            return F.lpad(F.hex(value.cast("bigint")), 2, "0")
-
-        def low(shift):
-            return F.shiftright(code, shift).bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))
-
-        hexes = (F.when(code < 0x80, byte(code))
-                 .when(code < 0x800,
-                       F.concat(byte(F.shiftright(code, 6).bitwiseOR(F.lit(0xC0))), byte(low(0))))
-                 .when(code < 0x10000,
-                       F.concat(byte(F.shiftright(code, 12).bitwiseOR(F.lit(0xE0))),
-                                byte(low(6)), byte(low(0))))
-                 .otherwise(F.concat(byte(F.shiftright(code, 18).bitwiseOR(F.lit(0xF0))),
-                                     byte(low(12)), byte(low(6)), byte(low(0)))))
-        return F.decode(F.unhex(hexes), "UTF-8")
-
-    def decode(ref_text: Column) -> Column:
-        digits = F.regexp_extract(ref_text, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-        code = (F.when(ref_text.rlike("^&#[xX]"), F.conv(digits, 16, 10))
-                .otherwise(digits).cast("int"))
-        valid = (code > 0) & (code <= 0x10FFFF)
-        return F.when(ref_text.startswith("&#"),
-                      F.when(valid, from_code_point(code)).otherwise(ref_text)).otherwise(
-            F.coalesce(F.element_at(named, ref_text), ref_text))
+    named = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+    def decode(mark: Column) -> Column:
+        digits = F.regexp_extract(mark, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(mark.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        point = F.conv(code, 16, 10).cast("bigint")
+        # Valid code points only; surrogates have no character of their own.
+        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(~mark.startswith("&#"), F.coalesce(F.element_at(named, mark), mark)).when(
+            valid, char).otherwise(mark)
 
     between = F.split(text, ref, -1)
     refs = F.regexp_extract_all(text, F.lit(f"({ref})"), F.lit(1))
-    joined = F.array_join(
+    return F.array_join(
         F.zip_with(between, F.concat(F.transform(refs, decode), F.array(F.lit(""))),
                    lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")
-    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def html_to_text(markup: Column, tag_becomes: str = " ") -> Column:

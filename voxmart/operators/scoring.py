@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from voxmart.functions import pii
 from voxmart.functions.text import contains_any
 from voxmart.schemas import ASPECTS, ENUMS
 
+# What runs inside tasks travels with them, whether or not the workers have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Keywords of the baseline, and the published weights of the valence rules.
 RISK_WORDS = ("fraud", "scam", "otp", "phish", "cheat", "stolen", "lawyer", "court", "ombudsman", "legal",
               "refund", "fail", "debited", "stuck", "not working", "down", "blocked", "charged", "unauthori",

@@ -1 +1,505 @@
-"""Registered queries (being filled)."""
+"""Landed payloads -> posts, and the merges into the store.
+
+The driver has no landed payloads, so each query first writes a table's rows in the shape the
+source would have sent them, and the oracle states what must come back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxmart import adapters as A
+from voxmart.adapters import with_ctes
+from voxmart.plans.catalog_facts import base
+from voxmart.plans.catalog_text import GATE, TEXT_BRAND, _B, _E
+from voxmart.plans.registry import query
+from voxmart.session import scratch_path
+from voxmart.sources import imports, mappers, pages, store
+
+AS_OF = "2024-02-01 00:00:00"
+
+
+def js(**fields):
+    """One JSON payload out of named columns."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("payload")
+
+
+def obj(**fields):
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def s(col, kind="string"):
+    return F.col(col).cast(kind)
+
+
+def stamp(col="created_at"):
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias("at")
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def docs(spark, sf):
+    return A.table(spark, sf, "documents")
+
+
+def events(spark, sf):
+    return A.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+SHOWN = ("source_id", "author", "text", "engagement")
+
+
+@query("import_refused", f"""WITH {GATE}, r AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'empty' WHEN doc_id % 10 = 1 THEN 'untraceable'
+ WHEN NOT (word OR handle) THEN 'off-brand' END AS reason FROM gt)
+SELECT reason, count(*) AS rows FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def _(spark, sf):
+    return imports.refused(_export(spark, sf))
+
+
+def _export(spark, sf):
+    k, n = F.col("doc_id") % 10, (F.col("doc_id") + 10 ** 12).cast("string")
+    return imports.triaged(docs(spark, sf).select(
+        F.when(k > 0, F.col("text")).otherwise("  ").alias("Full_Text"), F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string")).alias("username"),
+        F.when(k == 1, F.lit("77")).when(k == 2, n).alias("id_str"),
+        F.when(k > 2, F.concat(F.lit("https://x.com/u/status/"), n)).alias("link"), F.lit("2024-01-05 10:00:00").alias("date"),
+        F.concat(F.lit("1,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")).alias("likes")), brand=TEXT_BRAND)
+
+
+@query("import_posts", rf"""WITH {GATE} SELECT 'x:' || (doc_id + 1000000000000) AS source_id, '@u' || (doc_id % 7) AS author, 1000 + doc_id % 1000 AS engagement,
+ md5(regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g')) AS text_md5, '2024-01-05 10:00:00' AS at
+ FROM gt JOIN documents USING (doc_id) WHERE doc_id % 10 > 1 AND (word OR handle)""")
+def _(spark, sf):
+    return imports.imported(_export(spark, sf)).select("source_id", "author", "engagement", F.md5("text").alias("text_md5"), stamp())
+
+
+@query("tweet_mapper", """SELECT 'x:' || event_id AS source_id, '@user' || user_id AS author, event_type AS text, CAST(floor(value) AS BIGINT) AS engagement,
+ CASE WHEN event_id % 2 = 0 THEN event_id END AS view_count, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def _(spark, sf):
+    e = events(spark, sf)
+    two = e.select(js(
+        id=s("event_id"), username=F.concat(F.lit("user"), s("user_id")), full_text=F.when(F.col("event_id") % 3 > 0, F.col("event_type")),
+        text=F.col("event_type"), favorite_count=F.floor("value").cast("string"), view_count=F.when(F.col("event_id") % 2 == 0, F.col("event_id")),
+        created_at=F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy")))
+    return mappers.tweets(two).select(*SHOWN, "view_count", stamp())
+
+
+@query("crawled_tweets", """SELECT 'x:' || event_id AS source_id, '@u' || user_id AS author, event_type AS text, CAST(event_id % 7 + 1200 + event_id % 11 AS BIGINT) AS engagement
+ FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    label = F.concat((e % 7).cast("string"), F.lit(" replies, 1,200 reposts, "), (e % 11).cast("string"), F.lit(" likes"))
+    return mappers.crawled_tweets(events(spark, sf).select(js(
+        id=s("event_id"), handle=F.concat(F.lit("u"), s("user_id")), text=F.col("event_type"), label=label))).select(*SHOWN)
+
+
+@query("hydrated_posts", """SELECT 'x:' || event_id AS source_id, CASE WHEN event_id % 3 = 0 THEN '@h' || user_id ELSE '@f' || user_id END AS author,
+ CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'full ' || event_type ELSE event_type END AS text,
+ CASE WHEN event_id % 3 = 0 THEN CAST(floor(value) AS BIGINT) END AS engagement FROM events""")
+def _(spark, sf):
+    e, n = events(spark, sf), F.col("event_id")
+    found = e.select(s("event_id").alias("id"), F.concat(F.lit("f"), s("user_id")).alias("author"), F.col("event_type").alias("text"),
+                     F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("created_at"))
+    full = e.filter(n % 3 == 0).select(s("event_id").alias("id"), F.concat(F.lit("h"), s("user_id")).alias("author"),
+                                       F.when(n % 2 == 0, F.concat(F.lit("full "), "event_type")).otherwise("").alias("text"),
+                                       F.lit("").alias("created_at"), F.floor("value").alias("engagement"))
+    return mappers.hydrate(found, full).select(*SHOWN)
+
+
+def _feeds(spark, sf):
+    """One RSS document per user, its items in the order of the events."""
+    e = events(spark, sf).filter(F.col("event_id") % 2 == 0)
+    item = F.concat(F.lit("<item><title>R to @bank: "), F.col("event_type"), F.lit(" &amp;amp; more</title><link>https://n.example/u"), s("user_id"), F.lit("/status/"),
+                    (F.col("event_id") + 10 ** 9).cast("string"), F.lit("#m</link><dc:creator>@u"), s("user_id"), F.lit("</dc:creator><pubDate>"),
+                    F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate><description><![CDATA[<p>about "), F.col("event_type"),
+                    F.lit("</p>]]></description></item>"))
+    xml = F.concat(F.lit("<rss><channel><title>feed</title>"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("event_id", item.alias("i")))), lambda x: x["i"]), "\n"), F.lit("</channel></rss>"))
+    return e.groupBy(F.concat(F.lit("feed"), s("user_id")).alias("feed")).agg(xml.alias("xml"))
+
+
+@query("rss_items", """SELECT 'feed' || user_id AS feed, 'https://n.example/u' || user_id || '/status/' || (event_id + 1000000000) || '#m' AS link,
+ 'R to @bank: ' || event_type || ' & more' AS title, '@u' || user_id AS author, 'about ' || event_type AS summary FROM events WHERE event_id % 2 = 0""")
+def _(spark, sf):
+    return mappers.rss_items(_feeds(spark, sf)).select("feed", "link", "title", "author", "summary")
+
+
+@query("rss_tweets", """SELECT 'x:' || (event_id + 1000000000) AS source_id, '@u' || user_id AS author, event_type || ' & more' AS text,
+ strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 2 = 0""")
+def _(spark, sf):
+    return mappers.rss_tweets(mappers.rss_items(_feeds(spark, sf))).select("source_id", "author", "text", stamp())
+
+
+@query("fresh_feeds", """SELECT 'feed' || user_id AS feed, count(*) AS items FROM events WHERE event_id % 2 = 0 GROUP BY user_id
+ HAVING max(date_trunc('second', ts)) >= TIMESTAMP '2024-01-30 18:00:00'""")
+def _(spark, sf):
+    at = F.lit("2024-02-29 18:00:00").cast("timestamp")
+    return mappers.fresh_feeds(mappers.rss_items(_feeds(spark, sf)), at).groupBy("feed").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("rss_news", """SELECT 'rssnews:' || substr(md5('https://n.example/u' || user_id || '/status/' || (event_id + 1000000000) || '#m'), 1, 12) AS source_id,
+ 'R to @bank: ' || event_type || ' & more. about ' || event_type AS text, 'feed' || user_id AS author FROM events WHERE event_id % 2 = 0""")
+def _(spark, sf):
+    return mappers.rss_news(mappers.rss_items(_feeds(spark, sf)), gate=False).select("source_id", "text", "author")
+
+
+@query("mastodon_statuses", """SELECT CASE event_id % 3 WHEN 0 THEN 'mastodon:' || event_id WHEN 1 THEN 'mastodon:other.example:' || event_id
+ ELSE 'mastodon:other.example:' || substr(sha1('https://other.example/@u/n' || event_id), 1, 16) END AS source_id, '@u' || user_id AS author,
+ 'cw ' || event_type || ' is # Tag & co card' AS text, CAST(event_id % 5 AS BIGINT) AS engagement FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    uri = F.when(e % 3 == 0, F.concat(F.lit("https://mastodon.social/users/u/statuses/"), e.cast("string"))).when(
+        e % 3 == 1, F.concat(F.lit("https://Other.example/users/u/statuses/"), e.cast("string"))).otherwise(
+        F.concat(F.lit("https://other.example/@u/n"), e.cast("string")))
+    status = obj(id=s("event_id"), uri=uri, spoiler_text=F.lit("cw"), content=F.concat(F.lit("<p>"), F.col("event_type"), F.lit(" is <a>#<b>Tag</b></a> &amp; co</p>")),
+                 card=obj(title=F.lit("card")), account=obj(acct=F.concat(F.lit("u"), s("user_id"))), favourites_count=e % 5, language=F.lit("und"))
+    plain = F.to_json(status)
+    boosted = F.to_json(obj(id=F.lit("b"), uri=F.lit("https://x.example/boost"), reblog=status))
+    both = events(spark, sf).select(plain.alias("payload")).unionByName(events(spark, sf).filter(e % 4 == 0).select(boosted.alias("payload")))
+    return mappers.mastodon_statuses(both, gate=False).select(*SHOWN)
+
+
+@query("hackernews_hits", """SELECT 'hackernews:' || event_id AS source_id, CASE WHEN event_id % 2 = 0 THEN 'T' || event_type || chr(10) || 'it''s ' || event_type
+ ELSE 'it''s ' || event_type END AS text, CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 5 AS BIGINT) ELSE 0 END AS engagement,
+ strftime(to_timestamp(1704067200 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    hit = obj(objectID=s("event_id"), title=F.when(e % 2 == 0, F.concat(F.lit("T"), "event_type")), comment_text=F.concat(F.lit("<i>it&#x27;s</i> "), "event_type"),
+              author=s("user_id"), created_at_i=e + 1704067200, points=F.when(e % 5 > 0, (e % 5).cast("string")).otherwise("n/a"))
+    # Two searches return overlapping hits, fifty to a page.
+    paged = events(spark, sf).groupBy(F.floor(e / 50).alias("p")).agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("payload"))
+    return mappers.hackernews_hits(paged.unionByName(paged), gate=False).select("source_id", "text", "engagement", stamp())
+
+
+@query("reddit_submissions", rf"""WITH {GATE}, t AS (SELECT doc_id, substr(regexp_replace('title ' || doc_id || chr(10) || CASE WHEN doc_id % 6 = 0 THEN '' ELSE
+ regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g') END, '[\s]+$', ''), 1, 4000) AS body FROM documents),
+ g AS (SELECT doc_id, body, regexp_matches(lower(body), '{_B}les{_E}') AS word, regexp_matches(lower(body), '{_B}der[\s\p{{Z}}._-]*un|@les') AS strong,
+ regexp_matches(lower(body), '{_B}les[\s\p{{Z}}]+que{_E}|{_B}des[\s\p{{Z}}]+les{_E}') AS homonym, regexp_matches(lower(body), '{_B}(pour|avec|dans|est){_E}') AS context FROM t)
+SELECT 'reddit:d' || doc_id AS source_id, md5(body) AS text_md5, CAST(doc_id % 100 AS BIGINT) AS engagement FROM g
+WHERE strong OR (word AND NOT homonym AND context)""")
+def _(spark, sf):
+    return _submissions(spark, sf).select("source_id", F.md5("text").alias("text_md5"), "engagement")
+
+
+def _submissions(spark, sf):
+    d = docs(spark, sf)
+    body = F.when(F.col("doc_id") % 6 == 0, "[removed]").otherwise(F.col("text"))
+    return mappers.reddit_submissions(d.select(js(
+        id=F.concat(F.lit("d"), s("doc_id")), title=F.concat(F.lit("title "), s("doc_id")), selftext=body, subreddit=F.col("source"),
+        author=F.lit("a"), score=F.col("doc_id") % 100, created_utc=F.col("doc_id") + 1704067200)), TEXT_BRAND)
+
+
+@query("reddit_comments", """WITH t AS (SELECT * FROM conversations WHERE role <> 'system')
+SELECT 'reddit:c_' || conv_id || '_' || turn AS source_id, 'p' || conv_id AS conversation_id, length(text) AS n FROM t WHERE conv_id % 3 = 0 AND turn % 4 <> 3""")
+def _(spark, sf):
+    c = A.table(spark, sf, "conversations").filter("role <> 'system'")
+    payload = c.select(js(id=F.concat(s("conv_id"), F.lit("_"), s("turn")), body=F.when(F.col("turn") % 4 == 3, "[deleted]").otherwise(
+        F.concat(F.lit("x"), F.substring("text", 2, 10000000))), link_id=F.concat(F.lit("t3_p"), s("conv_id")), author=F.col("role")))
+    threads = c.filter("conv_id % 3 = 0").select(F.concat(F.lit("p"), s("conv_id")).alias("conversation_id")).distinct()
+    return mappers.reddit_comments(payload, threads).select("source_id", "conversation_id", F.length("text").cast("bigint").alias("n"))
+
+
+@query("source_precedence", "SELECT count(*) AS posts FROM documents")
+def _(spark, sf):
+    d = docs(spark, sf)
+    return mappers.first_non_empty(d.filter("doc_id < 0"), d, d.limit(1)).agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query("appstore_reviews", """SELECT 'appstore:' || event_id AS source_id, '[Acme Mobile] [' || (event_id % 5 + 1) || '★] ' || CASE WHEN event_id % 2 = 0 THEN 'Meh. ' ELSE '' END
+ || event_type AS text, CAST(event_id % 9 AS BIGINT) AS engagement, CAST(event_id % 5 + 1 AS DOUBLE) AS rating FROM events WHERE ts >= TIMESTAMP '2024-01-12'""")
+def _(spark, sf):
+    e = F.col("event_id")
+    label = lambda c: F.struct(c.alias("label"))
+    entry = F.struct(label(F.concat(F.lit("https://a.example/"), s("event_id"))).alias("id"), label(F.when(e % 2 == 0, "Meh")).alias("title"),
+                     label(F.col("event_type")).alias("content"), label((e % 5 + 1).cast("string")).alias("im:rating"), label((e % 9).cast("string")).alias("im:voteCount"),
+                     label(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("updated"))
+    paged = events(spark, sf).groupBy(F.floor(e / 50).alias("p")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entry")).alias("feed"))).alias("payload"))
+    rows = paged.select("payload", F.lit("42").alias("app_id"), F.lit("Acme Mobile").alias("app_name"))
+    return mappers.appstore_reviews(rows, as_of(), max_age_days=20).select("source_id", "text", "engagement", "rating")
+
+
+@query("play_reviews", """SELECT 'play:' || event_id AS source_id, '[' || (event_id % 5 + 1) || '★] ' || event_type AS text, CAST(event_id % 9 AS BIGINT) AS engagement FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    return mappers.play_reviews(events(spark, sf).select(js(reviewId=s("event_id"), score=e % 5 + 1, content=F.col("event_type"), thumbsUpCount=e % 9))).select(
+        "source_id", "text", "engagement")
+
+
+def _next_page(data):
+    return F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(data.alias("pageProps")).alias("props"))),
+                    F.lit("</script></html>"))
+
+
+@query("employee_reviews", """SELECT 'ambitionbox:' || event_id AS source_id, '[' || (event_id % 5 + 1) || '★] Clerk' || CASE WHEN event_id % 3 > 0 THEN '. Pros: ' || event_type ELSE '' END
+ || CASE WHEN event_id % 3 <> 1 THEN '. Cons: slow' ELSE '' END AS text, CAST(event_id % 2 AS BIGINT) AS reply_count,
+ strftime(date_trunc('second', ts) - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 10 > 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    review = obj(id=s("event_id"), companyName=F.when(e % 10 > 0, "Acme Bank").otherwise("Other Co"), reviewTitle=F.lit("Clerk."),
+                 likesText=F.when(e % 3 > 0, F.col("event_type")), disLikesText=F.when(e % 3 != 1, "slow"), overallCompanyRating=e % 5 + 1,
+                 created=F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), isEmployerResponded=e % 2 == 1, helpfulCount=e % 4)
+    # Every page repeats its neighbour's first review, as a pinned one would be.
+    page = F.floor(e / 50)
+    paged = (events(spark, sf).withColumn("r", review).withColumn("p", F.explode(F.when(e % 50 == 0, F.array(page, page + 1)).otherwise(F.array(page))))
+             .groupBy("p").agg(_next_page(F.struct(F.collect_list("r").alias("reviewsData"))).alias("html")))
+    return pages.employee_reviews(paged).select("source_id", "text", "reply_count", stamp())
+
+
+@query("consumer_reviews", """SELECT 'trustpilot:' || event_id AS source_id, '[' || (event_id % 5 + 1) || '★] Title. ' || event_type AS text, CAST(event_id % 5 + 1 AS DOUBLE) AS rating FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    review = obj(id=s("event_id"), title=F.lit("Title"), text=F.col("event_type"), rating=e % 5 + 1, likes=e % 3,
+                 dates=obj(publishedDate=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), consumer=obj(displayName=s("user_id")))
+    paged = events(spark, sf).groupBy(F.floor(e / 50).alias("p")).agg(_next_page(F.struct(F.collect_list(review).alias("reviews"))).alias("html"))
+    return pages.consumer_reviews(paged).select("source_id", "text", "rating")
+
+
+def _card_pages(spark, sf, card):
+    """Fifty cards to a page, between navigation and footer."""
+    e = F.col("event_id")
+    return events(spark, sf).groupBy(F.concat(F.lit("https://site.example/p"), F.floor(e / 50).cast("string")).alias("url")).agg(
+        F.concat(F.lit("<html><nav><a href='/'>home</a></nav><div class='list'>"), F.array_join(F.collect_list(card), "<br>"), F.lit("</div><footer>end</footer></html>")).alias("html"))
+
+
+def _tag(name, cls, body, attrs=""):
+    return F.concat(F.lit(f"<{name} class='{cls}'"), attrs if not isinstance(attrs, str) else F.lit(attrs), F.lit(">"), body, F.lit(f"</{name}>"))
+
+
+@query("complaint_cards", """SELECT 'consumercomplaints:' || event_id AS source_id, 'Acme ' || event_type || '. It is & was bad' AS text, 'u' || user_id AS author,
+ strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_id % 10 > 0 AND event_type <> 'error'""")
+def _(spark, sf):
+    e = F.col("event_id")
+    href = F.concat(F.lit(" href='/x-"), F.when(e % 10 == 0, "none").when(e % 2 == 0, F.concat(F.lit("c"), s("event_id"))).otherwise(
+        F.concat(F.lit("y.html#get-cl"), s("event_id"))), F.lit("'"))
+    name = F.when(F.col("event_type") == "error", "Zeta").otherwise("Acme")
+    card = F.concat(F.lit("<div class='complaint-box-results wide'>"), _tag("a", "complaint-box-results__title", F.concat(name, F.lit(" <b>"), "event_type", F.lit("</b>")), href),
+                    _tag("div", "complaint-box-results__text", F.lit("It is &amp; was\n bad")), _tag("span", "author-box__user_bold", F.concat(F.lit("u"), s("user_id"))),
+                    _tag("span", "author-box__date", F.date_format("ts", "MMM d, yyyy")), F.lit("</div>"))
+    return pages.complaints(_card_pages(spark, sf, card)).select("source_id", "text", "author", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("news_cards", """SELECT CASE WHEN event_id % 3 > 0 THEN 'businessstandard:1240115' || lpad(CAST(event_id AS VARCHAR), 5, '0')
+ ELSE 'businessstandard:u' || substr(sha1('/topic/story-' || event_id), 1, 16) END AS source_id,
+ CASE WHEN event_id % 3 = 1 THEN '2024-01-15 00:00:00' ELSE strftime(CAST(ts AS DATE) + INTERVAL 343 MINUTE, '%Y-%m-%d %H:%M:%S') END AS at FROM events WHERE event_id % 7 > 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    href = F.concat(F.lit(" href='https://news.example/topic/story-"), F.when(e % 3 > 0, F.concat(F.lit("a-1240115"), F.lpad(s("event_id"), 5, "0"), F.lit("_1.html"))).otherwise(
+        F.concat(s("event_id"), F.lit("/?utm=1"))), F.lit("'"))
+    title = F.when(e % 7 == 0, "Acme short").otherwise("Acme posts a long enough headline")
+    day = F.concat(F.lit("Updated On : "), F.date_format("ts", "d MMM yyyy"), F.lit(" | 11:13 AM IST"))
+    card = F.concat(F.lit("<div class='cardlist'>"), _tag("a", "smallcard-title", title, href), _tag("p", "bookreview-title", F.lit("Blurb")),
+                    F.when(e % 3 != 1, _tag("span", "updt-on", day)).otherwise(""), F.lit("</div>"))
+    dated, _undated = pages.dropped_undated(pages.news_cards(_card_pages(spark, sf, card), as_of()))
+    return dated.select("source_id", stamp())
+
+
+@query("review_cards", """SELECT 'mouthshut:acme-bank-review-' || event_id AS source_id, CASE WHEN event_id % 6 > 0 THEN '[' || (event_id % 6) || '★] ' ELSE '' END || 'Bad. very ' || event_type AS text,
+ CAST(event_id % 9 AS BIGINT) AS engagement, strftime(TIMESTAMP '2024-01-31' - INTERVAL (event_id % 20 + 1) DAY, '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    href = F.concat(F.lit(" href='https://site.example/review/acme-bank-review-"), s("event_id"), F.lit("'"))
+    card = F.concat(F.lit("<div class='review-article'>"), _tag("a", "review-title", F.lit("Bad"), href),
+                    F.repeat(F.lit("<i class='icon rated-star'></i>"), (e % 6).cast("int")), _tag("div", "reviewdata", F.concat(F.lit("very "), "event_type")),
+                    _tag("span", "review-date", F.concat((e % 20 + 1).cast("string"), F.lit(" days ago"))), _tag("div", "divlike", F.concat((e % 9).cast("string"), F.lit(" likes"))), F.lit("</div>"))
+    return pages.product_reviews(_card_pages(spark, sf, card), F.lit("2024-01-31").cast("timestamp")).select("source_id", "text", "engagement", stamp())
+
+
+@query("forum_replies", """SELECT 'technofino:' || event_id AS source_id, event_type AS text, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 + event_id % 5 END AS BIGINT) AS engagement FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    who = F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("ann, bob and "), (e % 5).cast("string"), F.lit(" others")))
+    card = F.concat(F.lit("<article class='message'>"), _tag("a", "message-anchor", F.lit("#"), F.concat(F.lit(" href='/t/#post-"), s("event_id"), F.lit("'"))),
+                    _tag("h4", "message-name", F.concat(F.lit("u"), s("user_id"))), _tag("div", "bbWrapper", F.concat(F.lit("<p>"), "event_type", F.lit("</p>"))),
+                    _tag("a", "reactionsBar-link", who), F.lit("</article>"))
+    return pages.forum_replies(_card_pages(spark, sf, card)).select("source_id", "text", "engagement")
+
+
+@query("branch_ratings", """SELECT '[' || CAST(event_id % 5 AS DOUBLE) || '★] Acme branch ' || event_id AS text, CAST(event_id % 5 AS DOUBLE) AS rating FROM events WHERE event_id % 5 > 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    card = F.concat(F.lit("<div class='place-card'>"), _tag("a", "place-name", F.concat(F.lit("Acme branch "), s("event_id"))), _tag("span", "place-rating", (e % 5).cast("string")), F.lit("</div>"))
+    return pages.branch_ratings(_card_pages(spark, sf, card)).select("text", "rating")
+
+
+@query("discourse_posts", """SELECT 'valuepickr:' || event_id AS source_id, 'Topic ' || user_id || '. said ' || event_type AS text,
+ 'https://forum.example/t/s' || user_id || '/' || user_id || '/2' AS url FROM events""")
+def _(spark, sf):
+    post = obj(id=s("event_id"), topic_id=F.col("user_id"), blurb=F.concat(F.lit("said  "), "event_type"), username=s("user_id"), post_number=F.lit(2))
+    paged = events(spark, sf).groupBy(F.floor(F.col("event_id") / 50).alias("p")).agg(F.to_json(F.struct(
+        F.collect_list(post).alias("posts"), F.collect_set(obj(id=F.col("user_id"), title=F.concat(F.lit("Topic "), s("user_id")), slug=F.concat(F.lit("s"), s("user_id")))).alias("topics"))).alias("payload"))
+    return mappers.discourse_posts(paged, gate=False).select("source_id", "text", "url")
+
+
+@query("gdelt_articles", """SELECT 'gdelt:' || substr(md5('https://g.example/' || event_id), 1, 12) AS source_id, event_type AS text,
+ CASE event_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'hi' WHEN 2 THEN 'norwegia' ELSE 'en' END AS lang, CASE WHEN event_id % 5 > 0 THEN
+ strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS at FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    lang = F.when(e % 4 == 0, "English").when(e % 4 == 1, "Hindi").when(e % 4 == 2, "Norwegian").otherwise("")
+    art = obj(url=F.concat(F.lit("https://g.example/"), s("event_id")), title=F.col("event_type"), domain=F.lit("g.example"), language=lang,
+              seendate=F.when(e % 5 > 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).otherwise("soon"))
+    paged = events(spark, sf).groupBy(F.floor(e / 50).alias("p")).agg(F.to_json(F.struct(F.collect_list(art).alias("articles"))).alias("payload"))
+    return mappers.gdelt_articles(paged).select("source_id", "text", "lang", stamp())
+
+
+@query("youtube_videos", """SELECT 'yt:v_' || event_id AS source_id, 'Acme ' || event_type AS text, CAST(event_id AS BIGINT) AS engagement FROM events WHERE event_id % 3 > 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    return mappers.youtube_videos(events(spark, sf).select(js(
+        vid=s("event_id"), title=F.concat(F.when(e % 3 > 0, "Acme ").otherwise("Zeta "), "event_type"), views=e, channel=F.lit("chan")))).select("source_id", "text", "engagement")
+
+
+@query("youtube_comments", rf"""WITH c AS (SELECT conv_id, turn, text, regexp_matches(lower(text), '{_B}les{_E}') AS named FROM conversations
+  WHERE length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 10),
+ t AS (SELECT conv_id, count(*) FILTER (named) AS k, count(*) AS n FROM c GROUP BY conv_id)
+SELECT 'yt:' || conv_id || '.' || turn AS source_id, CAST(1200 + turn AS BIGINT) AS engagement, strftime(TIMESTAMP '2024-02-01' - INTERVAL (turn + 1) WEEK, '%Y-%m-%d') AS day
+ FROM c JOIN t USING (conv_id) WHERE named OR (k >= 3 AND k / n >= 0.30)""")
+def _(spark, sf):
+    c = A.table(spark, sf, "conversations")
+    payload = c.select(js(id=F.concat(s("conv_id"), F.lit("."), s("turn")), vid=s("conv_id"), text=F.col("text"), author=F.col("role"),
+                          likes=F.concat(F.lit("1,20"), s("turn")), published=F.concat((F.col("turn") + 1).cast("string"), F.lit(" weeks ago (edited)"))))
+    return mappers.youtube_comments(payload, as_of(), TEXT_BRAND).select("source_id", "engagement", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("round_robin", """WITH l AS (SELECT user_id, event_type AS leg, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events),
+ b AS (SELECT user_id, min((rank, leg)) AS m FROM l GROUP BY user_id)
+SELECT user_id, CAST(struct_extract(m, 1) AS INT) AS rank, struct_extract(m, 2) AS leg FROM b""")
+def _(spark, sf):
+    from pyspark.sql import Window
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    legs = A.table(spark, sf, "events").select("user_id", F.col("event_type").alias("leg"), F.row_number().over(w).alias("rank"))
+    return mappers.round_robin(legs, "leg", "rank", "user_id")
+
+
+@query("drifting_videos", """SELECT 'tiktok:' || event_id AS source_id, '@u' || user_id AS author, event_type AS text, CAST(event_id % 50 AS BIGINT) AS engagement,
+ CASE WHEN event_id % 3 = 1 THEN event_id END AS view_count FROM events""")
+def _(spark, sf):
+    e, user = F.col("event_id"), F.concat(F.lit("u"), s("user_id"))
+    a = F.to_json(obj(data=obj(videos=F.array(obj(id=e, author=obj(uniqueId=user, nickname=F.lit("n")), desc=F.col("event_type"), stats=obj(diggCount=e % 50))))))
+    b = F.to_json(obj(items=F.array(obj(video_id=s("event_id"), username=user, description=F.col("event_type"), likes=e % 50, play_count=e))))
+    c = F.to_json(F.array(obj(aweme_id=s("event_id"), author=F.concat(F.lit("@"), user), title=F.col("event_type"), like_count=(e % 50).cast("string"))))
+    return mappers.drifting(events(spark, sf).select(F.when(e % 3 == 0, a).when(e % 3 == 1, b).otherwise(c).alias("payload")), "tiktok").select(*SHOWN, "view_count")
+
+
+@query("drifting_reviews", """SELECT 'trustpilot:' || substr(md5(CASE WHEN event_id % 2 = 0 THEN 'https://t.example/' || event_id || '|T' || event_id ELSE 'T' || event_id || '|' || event_type END), 1, 12) AS source_id,
+ '[' || (event_id % 5 + 1) || '] T' || event_id || ' ' || event_type AS text, CAST(event_id % 5 + 1 AS DOUBLE) AS rating, CAST(NULL AS BIGINT) AS engagement, 'anonymous' AS author FROM events""")
+def _(spark, sf):
+    e = F.col("event_id")
+    review = obj(title=F.concat(F.lit("T"), s("event_id")), body=F.col("event_type"), stars=F.concat((e % 5 + 1).cast("string"), F.lit(" out of 5")),
+                 link=F.when(e % 2 == 0, F.concat(F.lit("https://t.example/"), s("event_id"))))
+    return mappers.drifting(events(spark, sf).select(js(reviews=F.array(review))), "trustpilot").select(*SHOWN, "rating")
+
+
+@query("bluesky_events", """SELECT 'bsky:did' || user_id || '/' || event_id AS source_id, 'AcmeBank ' || event_type AS text FROM events
+ WHERE event_id % 4 > 0 AND event_id % 5 > 0""")
+def _(spark, sf):
+    return mappers.bluesky_events(firehose(spark, events(spark, sf))).select("source_id", "text")
+
+
+def firehose(spark, rows):
+    e = F.col("event_id")
+    body = F.concat(F.when(e % 5 > 0, "AcmeBank ").otherwise("Zeta "), "event_type")
+    return rows.select(js(did=F.concat(F.lit("did"), s("user_id")), commit=obj(
+        operation=F.when(e % 4 > 0, "create").otherwise("delete"), collection=F.lit("app.bsky.feed.post"), rkey=s("event_id"),
+        record=obj(text=body, createdAt=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))))
+
+
+@query("mastodon_stream", """SELECT 'mastodon:' || event_id AS source_id, 'acme & ' || event_type AS text FROM events WHERE event_id % 3 > 0""")
+def _(spark, sf):
+    e = F.col("event_id")
+    line = F.concat(F.when(e % 3 > 0, "data: ").otherwise("event: "), F.to_json(obj(id=s("event_id"), content=F.concat(F.lit("<p>acme &amp; "), "event_type", F.lit("</p>")))))
+    return mappers.mastodon_stream(events(spark, sf).select(line.alias("value"))).select("source_id", "text")
+
+
+@query("refresh_metrics", with_ctes("mentions") + """SELECT source_id, CASE WHEN source IN ('twitter', 'reddit') THEN engagement + 1 END AS likes,
+ CASE WHEN source = 'twitter' THEN retweet_count END AS reshares, CASE WHEN source = 'reddit' THEN 3 END AS comments FROM mentions
+ WHERE source IN ('twitter', 'reddit')""")
+def _(spark, sf):
+    m, tw = base(spark, sf), F.col("source") == "twitter"
+    payload = m.select("source", F.when(tw, F.col("source_id")).otherwise(F.substring_index("source_id", ":", -1)).alias("ref"), js(
+        engagement=F.when(tw, F.col("engagement") + 1), score=F.when(~tw, F.col("engagement") + 1), retweet_count=F.col("retweet_count"),
+        num_comments=F.lit("3")))
+    return mappers.metrics(payload, m.filter("source in ('twitter', 'reddit')")).select("source_id", "likes", "reshares", F.col("comments").cast("int").alias("comments"))
+
+
+# ---------------------------------------------------------------- merges and store
+@query("union_of_sources", """WITH u AS (SELECT 'd' || doc_id AS id, md5(text) AS m, 0 AS b FROM documents WHERE text <> ''
+ UNION ALL SELECT 'd' || item_id, md5(text), 1 FROM benchmark), l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b DESC) AS rn FROM u)
+SELECT id AS source_id, m AS text_md5 FROM l WHERE rn = 1""")
+def _(spark, sf):
+    a = docs(spark, sf).select(F.concat(F.lit("d"), s("doc_id")).alias("source_id"), "text", F.lit("a").alias("source"))
+    b = A.table(spark, sf, "benchmark").select(F.concat(F.lit("d"), s("item_id")).alias("source_id"), "text", F.lit("b").alias("source"))
+    return store.one_per_post(store.union_sources([a, b])).select("source_id", F.md5("text").alias("text_md5"))
+
+
+@query("insert_new", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0")
+def _(spark, sf):
+    o = A.table(spark, sf, "orders")
+    return store.insert_new(o.filter("o_orderkey % 4 <> 0"), o, "o_orderkey").select("o_orderkey")
+
+
+@query("upsert_replace", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return store.upsert(o.filter("o_orderkey % 8 <> 0"), o.filter("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
+
+
+@query("partial_update", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 > 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders""")
+def _(spark, sf):
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = o.filter("o_orderkey % 4 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, "X").alias("o_orderstatus"))
+    return store.patch(o, new, "o_orderkey", ["o_orderstatus"])
+
+
+@query("category_patch", with_ctes("mentions") + "SELECT source_id, CASE WHEN source = 'play' THEN 'branch' ELSE issue_category END AS issue_category FROM mentions")
+def _(spark, sf):
+    m = base(spark, sf).select("source_id", "source", "issue_category")
+    labels = m.filter("source = 'play'").select("source_id", F.lit("branch").alias("issue_category"))
+    return store.patch(m, labels, "source_id", ["issue_category"]).drop("source")
+
+
+@query("versioned_publish", """SELECT 'v1' AS version, count(*) FILTER (o_orderkey % 2 = 0) AS visible FROM orders
+ UNION ALL SELECT 'v2 refused', count(*) FILTER (o_orderkey % 2 = 0) FROM orders UNION ALL SELECT 'v3', count(*) FROM orders""")
+def _(spark, sf):
+    from voxmart.operators import quality
+    o = A.table(spark, sf, "orders")
+    w = store.Warehouse(spark, scratch_path(spark, "warehouse"))
+    seen = []
+    for version, rows, good in (("v1", o.filter("o_orderkey % 2 = 0"), True), ("v2 refused", o.filter("o_orderkey < 0"), False), ("v3", o, True)):
+        built = w.write("orders", rows, version.split()[0])
+        checks = quality.unique(built, "orders", "o_orderkey") if good else quality.accepted(o, "orders", "o_orderstatus", ("none",))
+        w.publish(version.split()[0], checks)
+        seen.append(w.read("orders").agg(F.count(F.lit(1)).alias("visible")).select(F.lit(version).alias("version"), "visible"))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
+@query("masked_export", with_ctes("mentions") + "SELECT source_id, text_masked AS text FROM mentions WHERE fraud_signal = 1")
+def _(spark, sf):
+    path = scratch_path(spark, "export")
+    rows = base(spark, sf).filter("fraud_signal = 1").select("source_id", "text", "text_masked")
+    store.export_csv(rows, path, AS_OF, "analyst", "fraud posts")
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select("source_id", "text")
+
+
+@query("export_audit", with_ctes("mentions") + f"""SELECT 'aud:' || substr(md5('2024-02-01T00:00:00Z|analyst|export|' || count(*) || ' rows :: fraud posts'), 1, 16) AS audit_id,
+ 'analyst' AS actor, 'export' AS action, count(*) || ' rows :: fraud posts' AS detail FROM mentions WHERE fraud_signal = 1""")
+def _(spark, sf):
+    rows = base(spark, sf).filter("fraud_signal = 1").select("source_id", "text", "text_masked")
+    return store.export_csv(rows, scratch_path(spark, "export"), AS_OF, "analyst", "fraud posts").select("audit_id", "actor", "action", "detail")
+
+
+@query("bulk_copy", "SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars / 2 END AS score FROM documents")
+def _(spark, sf):
+    path = scratch_path(spark, "copy")
+    rows = docs(spark, sf).select(s("doc_id").alias("source_id"), F.when(F.col("n_chars") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 2).alias("score"))
+    store.copy_table(rows, "analysis", path)
+    return spark.read.parquet(path).select(F.col("source_id").cast("bigint").alias("doc_id"), "score")
+
+
+_TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
+
+
+@query("table_inventory", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in _TABLES))
+def _(spark, sf):
+    return store.inventory({t: A.table(spark, sf, t) for t in _TABLES}).select("table", "rows")

@@ -8,7 +8,14 @@ from pyspark.sql import types as T
 
 ASPECTS = "array<struct<aspect:string,sentiment:string,evidence:string>>"
 
-_DDL = {
+# The types contracts use. Spelled out here, so that importing the package needs no session.
+_TYPES: dict[str, T.DataType] = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()),
+    "aspects": T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("aspect", "sentiment", "evidence")])),
+}
+
+_COLUMNS = {
     "raw_posts": """
         source_id string, source string, author string, author_name string, text string,
         url string, created_at timestamp, fetched_at timestamp, lang string,
@@ -18,18 +25,18 @@ _DDL = {
     "clean_posts": """
         source_id string, clean_text string, lang string, text_hash string,
         is_duplicate int, spam_flag int, pii_types string, transformed_at timestamp""",
-    "analysis": f"""
+    "analysis": """
         source_id string, sentiment string, score double, emotion string,
         emotion_intensity int, sarcasm int, intent string, urgency string,
         urgency_reason string, product string, root_cause string, rbi_category string,
         recommended_team string, recommended_action string, churn_risk int,
         fraud_signal int, fraud_type string, pii_present int, theme string,
-        summary string, confidence double, aspects {ASPECTS}, cluster_id bigint,
+        summary string, confidence double, aspects aspects, cluster_id bigint,
         model string, analyzed_at timestamp, text_masked string, pii_types string,
         issue_category string, category_reason string""",
     "clusters": """
         cluster_id bigint, title string, size bigint, recent_share double,
-        avg_score double, top_team string, sample_ids array<string>, updated_at timestamp""",
+        avg_score double, top_team string, sample_ids strings, updated_at timestamp""",
     "engagement_history": """
         source_id string, iteration int, captured_at timestamp, likes bigint,
         reshares bigint, comments bigint, views bigint""",
@@ -40,7 +47,7 @@ _DDL = {
         is_current int, version int""",
     "dim_customer": """
         customer_key string, customer_name string, segment string, rm_id string,
-        city string, clv double, risk_flag int, products_held array<string>,
+        city string, clv double, risk_flag int, products_held strings,
         updated_at timestamp""",
     "dim_rm": "rm_id string, rm_name string, branch string, region string",
     "dim_product": "product_code string, product_name string, category string",
@@ -91,9 +98,13 @@ _DDL = {
         cost_usd_est double, provider string""",
 }
 
-SCHEMAS: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(" ".join(ddl.split())) for name, ddl in _DDL.items()
-}
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in
+                         (column.split() for column in columns.split(","))])
+
+
+SCHEMAS: dict[str, T.StructType] = {name: _struct(columns) for name, columns in _COLUMNS.items()}
 
 # The allowed labels of each enumerated column, first the default used
 # when a model emits anything else.
