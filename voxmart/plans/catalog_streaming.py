@@ -1 +1,125 @@
-"""Registered queries (being filled)."""
+"""Streaming jobs run to completion over the tables; the oracle is the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxmart import adapters as A
+from voxmart.adapters import with_ctes
+from voxmart.plans.catalog_facts import NEG
+from voxmart.plans.catalog_sources import firehose
+from voxmart.plans.catalog_text import CLEAN, DUP, FLAGS
+from voxmart.plans.registry import query
+from voxmart.session import scratch_path
+from voxmart.sources import mappers
+from voxmart.streaming import jobs
+
+M = with_ctes("mentions")
+
+
+def stream(spark, sf, table):
+    return jobs.landing(spark, sf, A.table(spark, sf, table).schema, f"{table}.parquet")
+
+
+def mention_stream(spark, sf):
+    return A._adapt(stream(spark, sf, "events"), A.MENTIONS)
+
+
+def run(writer) -> None:
+    """Everything that is there now, then stop."""
+    handle = writer.trigger(availableNow=True).start()
+    try:
+        handle.awaitTermination()
+    finally:
+        handle.stop()
+
+
+def paths(spark, name):
+    base = scratch_path(spark, name)
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+@query("stream_ingest", """SELECT 'bsky:did' || user_id || '/' || event_id AS source_id, 'AcmeBank ' || event_type AS text FROM events
+ WHERE event_id % 4 > 0 AND event_id % 5 > 0""")
+def _(spark, sf):
+    rows = stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = firehose(spark, rows.unionByName(rows.filter("event_id % 3 = 0")))
+    out, ck = paths(spark, "ingest")
+    run(jobs.append_to(jobs.deduplicated(mappers.bluesky_events(twice)), out, ck))
+    return spark.read.parquet(out).select("source_id", "text")
+
+
+@query("stream_enrich", with_ctes("posts") + f", {CLEAN}, {DUP}, {FLAGS} SELECT source_id, text_hash, det AS lang, spam AS spam_flag FROM cf")
+def _(spark, sf):
+    posts = A._adapt(stream(spark, sf, "documents"), A.POSTS)
+    out, ck = paths(spark, "enrich")
+    run(jobs.append_to(jobs.enriched(posts), out, ck))
+    return spark.read.parquet(out).select("source_id", "text_hash", "lang", "spam_flag")
+
+
+@query("stream_windows", M + f"""SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS window_start, source, count(*) AS mentions,
+ count(*) FILTER ({NEG}) AS negatives, avg(score) AS avg_score FROM mentions GROUP BY 1, 2""")
+def _(spark, sf):
+    out, ck = paths(spark, "windows")
+    run(jobs.snapshot_sink(jobs.windowed_volume(mention_stream(spark, sf)), out, ck))
+    rows = jobs.newest_snapshot(spark, out)
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "source", "mentions", "negatives", "avg_score")
+
+
+@query("stream_sliding_windows", M + """, s AS (SELECT score, sentiment, date_trunc('hour', created_at) - INTERVAL (i) HOUR AS w FROM mentions, (SELECT unnest(range(24)) AS i))
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS mentions FROM s GROUP BY 1""")
+def _(spark, sf):
+    out, ck = paths(spark, "sliding")
+    run(jobs.snapshot_sink(jobs.windowed_volume(mention_stream(spark, sf), "1 day", "1 hour", by=()), out, ck))
+    return jobs.newest_snapshot(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "mentions")
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh,
+  event_id FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e)
+SELECT 'u' || user_id AS conversation_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS posts FROM g GROUP BY user_id, s""")
+def _(spark, sf):
+    rows = stream(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("conversation_id"),
+                                              F.col("ts").cast("timestamp").alias("created_at"), F.lit(0.0).alias("score"))
+    out, ck = paths(spark, "sessions")
+    run(jobs.snapshot_sink(jobs.conversation_sessions(rows), out, ck))
+    return jobs.newest_snapshot(spark, out).select("conversation_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "posts")
+
+
+@query("stream_alerts", M + f""", w AS (SELECT date_trunc('hour', created_at) AS h, source, count(*) AS mentions, count(*) FILTER ({NEG}) AS negatives
+ FROM mentions GROUP BY 1, 2)
+SELECT 'alert:' || substr(md5('spike|' || source || '|' || strftime(h, '%Y-%m-%dT%H:%M')), 1, 16) AS alert_id, source AS subject, mentions, negatives
+ FROM w WHERE mentions >= 3 AND negatives / mentions >= 0.6""")
+def _(spark, sf):
+    out, ck = paths(spark, "alerts")
+    run(jobs.merge_alerts(jobs.spike_alerts(jobs.windowed_volume(mention_stream(spark, sf)), 3), out, ck))
+    return jobs.newest_snapshot(spark, out).select("alert_id", "subject", "mentions", "negatives")
+
+
+@query("stream_engagement", """WITH e AS (SELECT 'u' || user_id AS source_id, CAST(floor(value * 10) AS BIGINT) AS likes, CAST(row_number() OVER (PARTITION BY user_id
+ ORDER BY ts, floor(value * 10)) AS INT) AS iteration FROM events)
+SELECT source_id, iteration, likes, likes - lag(likes) OVER (PARTITION BY source_id ORDER BY iteration) AS likes_delta, iteration = 12 AS retired FROM e WHERE iteration <= 12""")
+def _(spark, sf):
+    rows = stream(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"),
+                                              F.col("ts").cast("timestamp").alias("captured_at"), F.floor(F.col("value") * 10).alias("likes"))
+    out, ck = paths(spark, "engagement")
+    run(jobs.append_to(jobs.engagement_lifecycle(rows), out, ck))
+    return spark.read.parquet(out).select("source_id", "iteration", "likes", "likes_delta", "retired")
+
+
+@query("stream_undated", """SELECT CASE WHEN event_id % 10 = 0 THEN 'undated' ELSE 'dated' END AS part, count(*) AS n FROM events GROUP BY 1""")
+def _(spark, sf):
+    rows = mention_stream(spark, sf)
+    undated = F.expr("CAST(substring(source_id, 4) AS BIGINT) % 10 = 0")
+    out, ck = paths(spark, "undated")
+    run(jobs.split_undated(rows.withColumn("created_at", F.when(~undated, F.col("created_at"))), f"{out}/dated", f"{out}/undated", ck))
+    tally = lambda part: spark.read.parquet(f"{out}/{part}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
+    return tally("dated").unionByName(tally("undated"))
+
+
+@query("stream_recluster", "SELECT 'fired' AS state, CAST(count(*) AS BIGINT) AS seen FROM events")
+def _(spark, sf):
+    out, ck = paths(spark, "recluster")
+    fired = []
+    hook = jobs.Recluster(out, 100, lambda _spark, seen: fired.append(seen))
+    run(mention_stream(spark, sf).select("source_id").writeStream.foreachBatch(hook).option("checkpointLocation", ck))
+    return spark.range(1).select(F.lit("fired" if fired else "waiting").alias("state"), F.lit(fired[-1] if fired else 0).cast("bigint").alias("seen"))
