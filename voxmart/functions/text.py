@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from voxmart.config import THRESHOLDS
 
 # Patterns and word lists of the text rules.
-URL = r"(?U)https?://\S+"
-SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# White space of every script as one explicit class: much faster than a Unicode-aware \\s.
+BLANK = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+URL = rf"https?://[^{BLANK}]+"
 RETWEET_PREFIX = r"(?U)^[\s\x1c-\x1f]*RT\b[:,]?"
 WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -42,7 +43,8 @@ def contains_any(text: Column, needles) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
+    blanks = F.translate(text, WHITE, " " * len(WHITE))
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def strip_edges(text: Column) -> Column:
@@ -55,14 +57,17 @@ def blank_to_null(text: Column) -> Column:
 
 
 def url_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(URL))
+    return F.when(text.contains("://"), F.regexp_count(text, F.lit(URL))).otherwise(0)
 
 
 def clean_text(text: Column) -> Column:
     """Text without links, retweet prefix and zero-width marks, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), URL, "")
+    raw = F.coalesce(text, F.lit(""))
+    t = F.when(raw.contains("://"), F.regexp_replace(raw, URL, "")).otherwise(raw)
     t = F.regexp_replace(t, RETWEET_PREFIX, "")
-    return squeeze(F.regexp_replace(t, ZERO_WIDTH, ""))
+    for mark in ZERO_WIDTH:
+        t = F.replace(t, F.lit(mark), F.lit(""))
+    return squeeze(t)
 
 
 def dedup_key(cleaned: Column) -> Column:
@@ -71,9 +76,10 @@ def dedup_key(cleaned: Column) -> Column:
 
 
 def detect_language(cleaned: Column) -> Column:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(cleaned), F.lit("([a-z]+)"), F.lit(1)))
-    hinglish = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in HINGLISH])))
-    return (F.when(cleaned.rlike(DEVANAGARI), "hi").when(hinglish >= 2, "hi-en").otherwise("en"))
+    # Only the listed words are pulled out, as whole runs of a-z.
+    listed = "(?<![a-z])(" + "|".join(HINGLISH) + ")(?![a-z])"
+    hinglish = F.size(F.array_distinct(F.regexp_extract_all(F.lower(cleaned), F.lit(listed), F.lit(1))))
+    return F.when(cleaned.rlike(DEVANAGARI), "hi").when(hinglish >= 2, "hi-en").otherwise("en")
 
 
 def spam_flag(cleaned: Column, n_urls: Column) -> Column:
