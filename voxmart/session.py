@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,26 +29,37 @@ def build_session(app: str = "voxmart", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, as the cluster names it.
 
-    Only where the cluster names none (tests, a laptop) a local folder is made, once per
-    application.
+    A local run that names none uses a folder in its own warehouse. On a cluster a missing name is an error, since a
+    folder of one machine would lose what other machines write.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="voxmart-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/voxmart/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "voxmart", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; ``clear_scratch`` removes all paths of this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once their results are stored elsewhere."""
+    remove_path(spark, scratch_root(spark))
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
