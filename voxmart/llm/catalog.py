@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("fingerprints", "simhash", "language_id", "quality", "packing", "token_files")
+MODULES = ("fingerprints", "simhash", "language_id", "quality", "packing", "token_files", "decontamination")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
