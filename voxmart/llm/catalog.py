@@ -11,7 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("fingerprints", "simhash", "language_id", "quality", "packing", "token_files", "decontamination")
+MODULES = ("fingerprints", "sharding", "packing", "token_files", "decontamination", "preferences", "quality", "simhash",
+           "language_id")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
