@@ -35,7 +35,7 @@ from .catalog import query, table
 CAPACITY = 1024
 END = 2
 NODES = 400       # of the enumeration of one filling
-STEPS = 30_000    # of the whole search
+STEPS = 6_000     # of the whole search
 WIDTH = 4         # fillings of a sequence that are tried
 GROUP = 200_000   # pieces of one length that are numbered in one group, about
 

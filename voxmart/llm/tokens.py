@@ -10,14 +10,17 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor are its parallelism
 
-CACHE = 400_000  # words whose ids a Python worker keeps
-_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])")
+CACHE = 1_000_000  # words whose ids a Python worker keeps, about 200 MB
+# Commas and full stops after letters and digits begin a word of their own; texts where they follow something else are not
+# cut there.
+_LOOSE = re.compile(r"(?:[^\w]|_|^)[.,]")
+# Blanks other than single spaces and line feeds, and the mark that words are parted by.
+_CROWDED = ["  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _open: dict[str, "Encoder"] = {}
 
 
@@ -36,8 +39,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
-        self.kept: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}  # words that follow a space
+        self.kept: dict = {}
         plain = spec.get("post_processor") is None and spec.get("truncation") is None
         added = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"])
                     for t in spec.get("added_tokens", []))
@@ -57,53 +59,28 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, words: list[str], known: dict[str, bytes], space: str) -> list[bytes]:
-        got = list(map(known.get, words))
-        if None not in got:
-            return got
+    def _resolve(self, words: list, got: list[bytes | None]) -> list[bytes]:
+        """Ids of words, where those the cache had are given."""
         new = dict.fromkeys(w for w, g in zip(words, got) if g is None)
-        cut = {w: m.groups() for w in new if (m := _MARKED.fullmatch(w))}   # "word," is the word and its mark
-        ask = list(dict.fromkeys(p for p in chain((w for w in new if w not in cut), (stem for stem, _ in cut.values()))
-                                 if p not in known))
-        ids = dict(zip(ask, self._library([space + w for w in ask])))
-        if len(known) < self.size:
-            known.update(ids)
-        for mark in {m for _, m in cut.values()}:
-            if mark not in self.kept:
-                self.kept[mark] = self._library([mark])[0]
-        for w in new:
-            if w in cut:
-                stem, mark = cut[w]
-                ids[w] = (known.get(stem) or ids[stem]) + self.kept[mark]
-            elif w not in ids:
-                ids[w] = known[w]
+        ids = dict(zip(new, self._library([w.decode() if isinstance(w, bytes) else w for w in new])))
+        if len(self.kept) < self.size:
+            self.kept.update(ids)
         return [g if g is not None else ids[w] for w, g in zip(words, got)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        marks = not _LOOSE.search(text)
         if self.kind == "word":
-            return b"".join(self._lookup(_ascii_words(text), self.kept, ""))
-        words = text.split() if self.kind == "byte" else []
-        if not words or len(words) != text.count(" ") + text.count("\n") + 1:
+            words = (text.replace(",", " ,").replace(".", " .") if marks else text).encode().split()
+        elif self.kind == "byte" and not any(map(text.__contains__, _CROWDED)) and not (text[0].isspace() or text[-1].isspace()):
+            parted = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+            words = (parted.replace(",", "\0,").replace(".", "\0.") if marks else parted).split("\0")
+        else:
             return self._library([text])[0]
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.kept.get("\n") or self.kept.setdefault("\n", self._library(["\n"])[0]))
-            first, *rest = line.split(" ")
-            out += self._lookup([first], self.kept, "")
-            if rest:
-                out += self._lookup(rest, self.after, " ")
-        return b"".join(out)
-
-
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def _ascii_words(text: str) -> list[str]:
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
+        got = list(map(self.kept.get, words))
+        return b"".join(self._resolve(words, got) if None in got else got)
 
 
 def public(name: str) -> str:
