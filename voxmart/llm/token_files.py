@@ -61,7 +61,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: list[int]) -> bytes
         sections[f"ones.{k}"] = np.concatenate([[0], np.cumsum(per)]).astype(np.uint32)
         sections[f"plane.{k}"] = plane
         zeros.append(len(v) - int(sections[f"ones.{k}"][-1]))
-        v = np.concatenate([v[~one], v[one]])
+        v = np.concatenate([np.compress(~one, v), np.compress(one, v)])
     pack, body, places = zstandard.ZstdCompressor(level=1), [], {}
     for name, data in sections.items():
         raw = pack.compress(data.tobytes())
@@ -162,8 +162,8 @@ class WaveletFile:
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.section(f"plane.{k}"), count=self.n).view(bool)
             zeros, out = self.head["zeros"][k], np.empty_like(v)
-            out[~one] = v[:zeros]
-            out[one] = v[zeros:] | v.dtype.type(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~one)] = v[:zeros]
+            out[np.flatnonzero(one)] = v[zeros:] | v.dtype.type(1 << (self.bits - 1 - k))
             v = out
         return v
 
