@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("fingerprints", "sharding", "packing", "token_files", "decontamination", "preferences", "quality", "simhash",
+MODULES = ("fingerprints", "sharding", "packing", "token_files", "decontamination", "language_model", "preferences", "quality", "simhash",
            "language_id")
 
 
