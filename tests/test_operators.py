@@ -105,12 +105,21 @@ def test_filter_stack(spark, stack, ids):
     assert "".join(sorted(r["source_id"] for r in feed.apply_filters(frame(spark), stack).collect())) == ids
 
 
+def test_filter_labels():
+    shown = [feed.describe({"field": f, "op": o, "value": v}) for f, o, v in (
+        ("Source", "is any of", ["a", "b"]), ("Likes", feed.GE, 50), ("Likes", "between", (5, 900)), ("Fraud flag", "is", "No"), ("Nope", "is", 1))]
+    assert shown == ["Source is any of a, b", "Likes ≥ 50", "Likes between 5–900", "Fraud flag is No", ""]
+
+
 def test_months_windows_and_sql_guard(spark):
     f = frame(spark)
     assert [r["month"].month for r in feed.month_options(f).collect()] == [7, 6]
     assert feed.within(f, ts("2026-07-02 12:00:00"), "1d").count() == 1 and feed.within(f, ts("2026-07-02"), None).count() == 5
     f.createOrReplaceTempView("frame")
     assert feed.read_only_sql(spark, "select * from frame").count() == 5
+    for good in ("select 'a;b'", "select 'please update'", "select current_date() as load", "with x as (select 1 as a) select * from x;"):
+        assert feed.read_only_sql(spark, good).count() == 1
+    assert feed.read_only_sql(spark, "select id from range(1000)").count() == 1000
     for bad in ("", "drop table frame", "select 1; select 2", "with x as (select 1) delete from frame"):
         with pytest.raises(ValueError):
             feed.read_only_sql(spark, bad)
@@ -246,6 +255,18 @@ def test_csv_import(spark, tmp_path):
     assert other["text"].startswith("#acmebank") and other["created_at"] is None and other["raw_created_at"] == "bad date"
 
 
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    (folder / "a.csv").write_text("# note\n" * 500 + 'text,id\n"two\nlines, ""quoted""",1\n# note,2\n\n', newline="")
+    (folder / "b.csv").write_text("\ufeffid,likes,,text\r\n3,7,x,b\r\n4,8\r\n", newline="")
+    (folder / "c.csv").write_text("# only notes\n")
+    (folder / "d.csv").write_text("")
+    got = {r["id"]: (r["text"], r["likes"], r["column_2"]) for r in imports.read_csv(spark, str(folder)).collect()}
+    assert got == {"1": ('two\nlines, "quoted"', None, None), "2": ("# note", None, None), "3": ("b", "7", "x"), "4": (None, "8", None)}
+    assert [r["file"].rsplit("/", 1)[1] for r in imports.unread_files(spark, str(folder)).collect()] == ["c.csv"]
+
+
 def test_card_parser(spark):
     html = ("<div class='complaint-box-results'><a class='complaint-box-results__title' href='/x-c12'>Acme <b>bad</b></a><div>"
             "<span class='complaint-box-results__text'>It was&nbsp;slow <br>very</span></div></div><p>acme outside</p>"

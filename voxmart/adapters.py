@@ -107,7 +107,7 @@ def _sql(pairs, table: str, where: str = "") -> str:
 ORACLE_CTES = {
     "mentions": _sql(MENTIONS, "events"),
     "threads": "SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(created_min AS BIGINT)) AS created_at "
-               f"FROM ({_sql(THREADS, 'conversations')} WHERE role <> 'system')",
+               f"FROM ({_sql(THREADS, 'conversations')})",
     "posts": f"SELECT *, DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS created_date FROM ("
              f"{_sql(POSTS + [('doc_id', 'doc_id')], 'documents')})",
     "customers": _sql(CUSTOMERS, "customer"),
@@ -128,7 +128,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _adapt(table(spark, sf_dir, "conversations").filter("role <> 'system'"), THREADS)
+    rows = _adapt(table(spark, sf_dir, "conversations"), THREADS)
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return rows.withColumn("created_at", F.timestamp_seconds(F.unix_timestamp(start) + F.col("created_min") * 60))
 

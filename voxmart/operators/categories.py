@@ -44,14 +44,15 @@ TOPIC_PATTERNS = {
     "service_delay": (r"delay\w*", "pending", "not (yet )?(credited|disbursed|processed|received)",
                       "taking (too )?long", r"since \d+ (day|week|month)", "still not"),
 }
-WORKPLACE_PATTERNS = (
-    r"\bmy (?:appraisal|team ?lead|employer|workplace)\b", r"\bwork[ -]?life balance\b",
-    r"\btoxic (?:culture|workplace|management)\b", r"\b(?:ex[- ]?)?employee of\b",
-    r"\bworked (?:here|there)\b", r"\bsalary (?:hike|revision)\b", r"\bappraisal cycle\b",
-    r"\bresigned from\b", r"\bnotice period\b", r"\bonboarding process\b",
-    r"\bhr (?:policy|team|department)\b")
-EMPLOYED_AT = (r"\bi (?:work|worked|am working|was working|used to work)\s+(?:at|for|in|with)\s+"
-               r"(?:the\s+|@)?")
+# Who counts as an employee, how near the brand has to stand, what a source or an aspect alone decides, and the
+# kinds of scam.
+WORKPLACE = (r"(\bmy (?:appraisal|team ?lead|employer|workplace)\b"
+             r"|\bwork[ -]?life balance\b|\btoxic (?:culture|workplace|management)\b"
+             r"|\b(?:ex[- ]?)?employee of\b|\bworked (?:here|there)\b"
+             r"|\bsalary (?:hike|revision)\b|\bappraisal cycle\b"
+             r"|\bresigned from\b|\bnotice period\b|\bonboarding process\b"
+             r"|\bhr (?:policy|team|department)\b)")
+EMPLOYED_AT = r"\bi (?:work|worked|am working|was working|used to work)\s+(?:at|for|in|with)\s+(?:the\s+|@)?"
 NEAR = 60
 SOURCE_CATEGORY = {"ambitionbox": "employee", "gmaps": "branch"}
 ASPECT_CATEGORY = {"branch_atm": "branch", "fraud_security": "fraud", "fees_charges": "charges_dispute",
@@ -75,9 +76,8 @@ def topic_pattern(topic: str) -> str:
 
 def workplace_pattern(brand: Brand = BRAND) -> str:
     """Workplace talk with the whole brand word at most ``NEAR`` characters away."""
-    phrase = "|".join(WORKPLACE_PATTERNS)
     gap = f".{{0,{NEAR - len(brand.word)}}}"
-    return rf"(?isU){EMPLOYED_AT}{brand.word}|{brand.word}{gap}(?:{phrase})|(?:{phrase}){gap}{brand.word}"
+    return rf"(?isU){EMPLOYED_AT}{brand.word}|{brand.word}{gap}{WORKPLACE}|{WORKPLACE}{gap}{brand.word}"
 
 
 def aspect_names(raw: Column) -> Column:

@@ -66,7 +66,7 @@ def fact_aspect_sentiment(rows: DataFrame, brand: Brand = BRAND) -> DataFrame:
     """One row per post and aspect; evidence is kept to 300 characters."""
     return (customer_voice(rows, brand).select("source_id", F.explode("aspects").alias("a"))
             .select("source_id", "a.aspect", "a.sentiment",
-                    F.substring(F.coalesce("a.evidence", F.lit("")), 1, 300).alias("evidence")))
+                    F.coalesce("a.evidence", F.lit("")).alias("evidence")))
 
 
 def fact_interaction(posts: DataFrame, bridge: DataFrame | None = None, brand: Brand = BRAND) -> DataFrame:

@@ -82,48 +82,36 @@ def half_split(rows: DataFrame, key: str, at: str, value: str, row_id: str) -> D
                                  mean(~F.col("_old")).alias("recent"))
 
 
-# Cross-sell rules in order. Each names the product held that rules it out,
-# the conditions on category / team / intent / held product, the offer and the pitch.
-CROSS_SELL = (
-    ("credit card", {"rbi_category": ("levy_of_charges", "deposit_accounts", "not_applicable"),
-                     "team": ("cards", "customer_support", "none")},
-     "Lifetime-free credit card",
-     "Waive the grievance forward: offer the lifetime-free card, cashback offsets the fee."),
-    ("personal loan", {"team": ("payments_upi",)}, "Pre-approved personal loan",
-     "Heavy transaction activity: pitch an instant pre-approved personal loan."),
-    ("fixed deposit", {"intent": ("query", "suggestion")}, "Fixed deposit / auto-sweep",
-     "Rate-shopping intent: pitch a higher-yield deposit with auto-sweep."),
-    ("home loan", {"rbi_category": ("loans_advances",)}, "Home loan balance transfer",
-     "Loan-active customer: offer a balance-transfer top-up at a lower rate."),
-    ("insurance", {"held": "credit card"}, "Term / health cover",
-     "Card-active, no insurance: bundle a term or health plan with auto-debit."),
-    ("demat", {"team": ("none", "customer_support")}, "Demat + 3-in-1",
-     "No investing product yet: pitch the 3-in-1 account to deepen wallet share."),
-)
-CROSS_SELL_FALLBACK = ("Relationship / portfolio review",
-                       "No obvious product gap: book a portfolio review and pre-empt churn.")
-
-
-def cross_sell(held: Column, category: Column, team: Column, intent: Column) -> tuple[Column, Column]:
-    """(offer, pitch) by the first rule that fits the customer's products and worst issue."""
+# A product the customer must not hold yet; what must hold of the worst issue (category, team, intent) or of the products
+# held; the offer; the line to say.
+Offer = tuple[str, dict[str, "str | tuple[str, ...]"], str, str]
+
+
+def cross_sell(offers: list[Offer], fallback: tuple[str, str], held: Column, category: Column, team: Column,
+               intent: Column) -> tuple[Column, Column]:
+    """(offer, pitch) by the first offer that fits the customer's products and worst issue."""
     owned = F.transform(F.coalesce(held, F.expr("cast(array() as array<string>)")),
                         lambda p: F.lower(F.trim(p)))
     fields = {"rbi_category": F.coalesce(category, F.lit("not_applicable")),
               "team": F.coalesce(team, F.lit("none")), "intent": F.coalesce(intent, F.lit("other"))}
     offer = pitch = None
-    for missing, needs, product, line in CROSS_SELL:
+    for missing, needs, product, line in offers:
         tests = [~F.array_contains(owned, missing)]
         for name, allowed in needs.items():
             tests.append(F.array_contains(owned, allowed) if name == "held" else fields[name].isin(*allowed))
         hit = reduce(lambda a, b: a & b, tests)
         offer = F.when(hit, product) if offer is None else offer.when(hit, product)
         pitch = F.when(hit, line) if pitch is None else pitch.when(hit, line)
-    return offer.otherwise(CROSS_SELL_FALLBACK[0]), pitch.otherwise(CROSS_SELL_FALLBACK[1])
+    if offer is None:
+        return F.lit(fallback[0]), F.lit(fallback[1])
+    return offer.otherwise(fallback[0]), pitch.otherwise(fallback[1])
 
 
 def rm_enablement(customers: DataFrame, managers: DataFrame, bridge: DataFrame, mentions: DataFrame,
-                  interactions: DataFrame) -> DataFrame:
-    """One row per customer: tone, trend, worst issue, offer, last interaction, talking point."""
+                  interactions: DataFrame, offers: list[Offer], fallback: tuple[str, str]) -> DataFrame:
+    """One row per customer: tone, trend, worst issue, offer, last interaction, talking point.
+
+    offers: the house's own list, in the order in which it is tried; fallback: (offer, pitch) where none fits."""
     linked = mentions.join(bridge.select("author", "customer_key"), "author")
     worst = F.min(F.when(is_negative(F.col("sentiment")), F.struct(
         F.col("score").isNull().alias("unscored"), "score", "created_at", "source_id", "root_cause", "summary",
@@ -147,6 +135,7 @@ def rm_enablement(customers: DataFrame, managers: DataFrame, bridge: DataFrame,
                                     F.col("w.rbi_category")).otherwise(F.col("w.recommended_team"))
                   ).otherwise("none")
     offer, pitch = cross_sell(
+        offers, fallback,
         F.col("products_held"), F.when(has_issue, F.col("w.rbi_category")),
         F.when(has_issue, F.col("w.recommended_team")), F.when(has_issue, F.col("w.intent")))
     cut = THRESHOLDS.trend_cut
@@ -279,7 +268,7 @@ def influencers(rows: DataFrame, top: int = 25) -> DataFrame:
     return (board.select("author", F.coalesce("named.author_name", "author").alias("author_name"), "reach",
                          "mentions", F.round("mean", 3).alias("avg_score"),
                          labels.stance(F.col("mean")).alias("stance"),
-                         F.substring(F.coalesce("w.summary", F.lit("")), 1, 160).alias("worst_summary"),
+                         F.coalesce("w.summary", F.lit("")).alias("worst_summary"),
                          F.col("w.url").alias("url"))
             .orderBy(F.desc("reach"), "author").limit(top))
 

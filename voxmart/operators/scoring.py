@@ -30,9 +30,6 @@ DAMPENERS = ("slightly", "somewhat", "barely", "kinda", "partly", "marginally")
 BOOST, NEGATE, EXCLAIM, ALPHA = 293, -740, 292, 15.0  # thousandths, but for ALPHA
 WORD = r"[\p{L}\p{N}']+"
 
-# A lexicon is broadcast only while it is known to be small; a larger one is joined by key.
-BROADCAST_TERMS = 200_000
-
 
 def lexicon_scores(posts: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "source_id") -> DataFrame:
     """(key, score): word valences, damped or flipped by the words before, normalised to [-1, 1].
@@ -52,8 +49,6 @@ def lexicon_scores(posts: DataFrame, lexicon: DataFrame, text: str = "text", key
     tokens = (posts.select(key, words.alias("words"))
               .select(key, F.inline(look)))
     terms = lexicon.select(F.lower("term").alias("term"), F.round(F.col("valence") * 1000).cast("bigint").alias("v"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
     sign = F.signum("v").cast("bigint")
     raised = F.col("v") + F.when(F.col("up"), sign * BOOST).when(F.col("down"), sign * -BOOST).otherwise(0)
     # Thousandths of thousandths only where a negation multiplies.
@@ -89,7 +84,7 @@ def baseline_rows(posts: DataFrame, scores: DataFrame) -> DataFrame:
         F.lit("").alias("recommended_action"), F.lit(0).alias("churn_risk"),
         F.when(fraud, 1).otherwise(0).alias("fraud_signal"),
         F.when(fraud, "suspected").otherwise("none").alias("fraud_type"), "pii_present",
-        F.lit("").alias("theme"), F.substring("text_masked", 1, 90).alias("summary"),
+        F.lit("").alias("theme"), F.col("text_masked").alias("summary"),
         F.lit(0.4).alias("confidence"), F.expr(f"cast(array() as {ASPECTS})").alias("aspects"),
         F.lit(None).cast("bigint").alias("cluster_id"), F.lit(LEXICON_MODEL).alias("model"),
         "text_masked", "pii_types")
@@ -172,7 +167,7 @@ def coerce_outputs(outputs: DataFrame, output: str = "output", ids: str = "ids")
             _enum(F.coalesce(F.try_variant_get(a, "$.aspect", "string"), F.lit("other")), "aspect").alias("aspect"),
             _enum(F.coalesce(F.try_variant_get(a, "$.sentiment", "string"), F.lit("neutral")), "sentiment")
             .alias("sentiment"),
-            F.substring(F.coalesce(F.try_variant_get(a, "$.evidence", "string"), F.lit("")), 1, 200)
+            F.coalesce(F.try_variant_get(a, "$.evidence", "string"), F.lit(""))
             .alias("evidence")))
     fallback = F.when(F.col("_n") == F.size(ids), F.get(ids, F.col("_pos")))
     record = rows.select(
@@ -221,7 +216,3 @@ def apply_verdicts(analysis: DataFrame, verdicts: DataFrame) -> DataFrame:
     return analysis.join(v, "source_id", "left").withColumn(
         "fraud_signal", F.when(asked & F.col("_verdict").isNotNull(), F.col("_verdict"))
         .otherwise(F.col("fraud_signal"))).drop("_verdict")
-
-
-REPLY_TEMPLATE = ("Hi, we're sorry for the trouble and want to make this right. Please DM us your registered "
-                  "number / ticket ref and we'll prioritise it. - {brand} Support")

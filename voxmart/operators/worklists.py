@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from voxmart.config import (BRAND, FOLLOW_UP_INTENTS, NEGATIVE_TONES, REFRESHABLE_SOURCES, THRESHOLDS, Brand)
 from voxmart.functions import labels
-from voxmart.operators.scoring import REPLY_TEMPLATE
 
 
 # ---------------------------------------------------------------- replies, translations
-def reply_worklist(rows: DataFrame, drafted: DataFrame | None = None, limit: int = 15) -> DataFrame:
-    """Undrafted complaints, most urgent and most negative first."""
+def reply_worklist(rows: DataFrame, drafted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Undrafted complaints, most urgent and most negative first; with ``limit`` the first ones."""
     todo = rows.filter(F.col("sentiment").isin(*NEGATIVE_TONES) & F.col("intent").isin(*FOLLOW_UP_INTENTS))
     if drafted is not None:
         todo = todo.join(drafted.select("source_id"), "source_id", "left_anti")
-    return todo.orderBy(F.desc(labels.urgency_rank(F.col("urgency"))), F.asc_nulls_first("score"),
-                        "source_id").limit(limit)
+    todo = todo.orderBy(F.desc(labels.urgency_rank(F.col("urgency"))), F.asc_nulls_first("score"), "source_id")
+    return todo if limit is None else todo.limit(limit)
 
 
-def template_drafts(worklist: DataFrame, brand: Brand = BRAND) -> DataFrame:
-    return worklist.select("source_id", F.lit(REPLY_TEMPLATE.format(brand=brand.name)).alias("draft"),
+def template_drafts(worklist: DataFrame, template: str, brand: Brand = BRAND) -> DataFrame:
+    """One draft per row from the house template, in which ``{brand}`` stands for the brand's name."""
+    return worklist.select("source_id", F.lit(template.format(brand=brand.name)).alias("draft"),
                            F.lit("template").alias("model"))
 
 
@@ -31,11 +31,11 @@ def drafts_view(drafts: DataFrame, rows: DataFrame) -> DataFrame:
                                                    "url")
 
 
-def translation_worklist(clean: DataFrame, done: DataFrame | None = None, limit: int = 25) -> DataFrame:
+def translation_worklist(clean: DataFrame, done: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     todo = clean.filter(F.col("lang").isin("hi", "hi-en") & (F.col("clean_text") != ""))
     if done is not None:
         todo = todo.join(done.select("source_id"), "source_id", "left_anti")
-    return todo.orderBy("source_id").limit(limit)
+    return todo if limit is None else todo.orderBy("source_id").limit(limit)
 
 
 def passthrough_translations(worklist: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def language_view(clean: DataFrame, posts: DataFrame, translations: DataFrame) -
 
 
 # ---------------------------------------------------------------- engagement refresh
-def refresh_due(posts: DataFrame, as_of: Column, limit: int | None = THRESHOLDS.refresh_batch) -> DataFrame:
-    """Posts young enough, under the pass cap, and rested for one interval."""
+def refresh_due(posts: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Posts young enough, under the pass cap, and rested for one interval; with ``limit`` those of the fewest passes, rested
+    longest."""
     t = THRESHOLDS
     seconds = lambda a, b: F.unix_timestamp(a) - F.unix_timestamp(b)
     age_ok = F.col("fetched_at").isNull() | (
@@ -62,7 +63,8 @@ def refresh_due(posts: DataFrame, as_of: Column, limit: int | None = THRESHOLDS.
         seconds(as_of, F.col("last_refreshed_at")) >= t.refresh_interval_hours * 3600)
     due = posts.filter((F.coalesce("refresh_count", F.lit(0)) < t.refresh_max_iterations) & age_ok & rested
                        & F.col("source").isin(*REFRESHABLE_SOURCES))
-    return due if limit is None else due.orderBy("source_id").limit(limit)
+    order = (F.coalesce("refresh_count", F.lit(0)), F.asc_nulls_first("last_refreshed_at"), "source_id")
+    return due if limit is None else due.orderBy(*order).limit(limit)
 
 
 def apply_refresh(due: DataFrame, metrics: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -137,4 +139,4 @@ def audit_entry(spark, at, actor: str, action: str, detail: str = "") -> DataFra
     ident = F.substring(F.md5(F.concat_ws("|", stamp, F.lit(actor), F.lit(action), F.lit(detail))), 1, 16)
     return spark.range(1).select(F.concat(F.lit("aud:"), ident).alias("audit_id"), ts.alias("ts"),
                                  F.lit(actor).alias("actor"), F.lit(action).alias("action"),
-                                 F.substring(F.lit(detail), 1, 400).alias("detail"))
+                                 F.lit(detail).alias("detail"))

@@ -211,7 +211,7 @@ def _(spark, sf):
 
 
 @query("fact_aspect_sentiment", with_ctes("mentions") + """
-SELECT source_id, aspect, aspect_sentiment AS sentiment, substr(summary, 1, 300) AS evidence FROM (
+SELECT source_id, aspect, aspect_sentiment AS sentiment, summary AS evidence FROM (
   SELECT source_id, summary, sentiment AS aspect_sentiment, CASE CAST(substr(source_id, 4) AS BIGINT) % 3 WHEN 0 THEN
   'mobile_app' WHEN 1 THEN 'cards' ELSE 'other' END AS aspect FROM mentions
   UNION ALL SELECT source_id, summary, 'neutral', 'fees_charges' FROM mentions

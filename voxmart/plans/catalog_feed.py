@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from voxmart import adapters as A
@@ -177,22 +179,30 @@ def _(spark, sf):
 
 
 @query("sort_by_views", M + """SELECT source_id, CAST(row_number() OVER (ORDER BY view_count DESC NULLS LAST, source_id) AS INT)
-  AS place FROM mentions ORDER BY place LIMIT 200""")
+  AS place FROM mentions""")
 def _(spark, sf):
-    from pyspark.sql import Window
-    top = feed.sort_by(base(spark, sf), "Views").limit(200)  # a page, as the reader asks for it
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("view_count"), "source_id")
-    return top.select("source_id", F.row_number().over(w).alias("place"))
+    return feed.places(base(spark, sf), "Views").select("source_id", F.col("place").cast("int").alias("place"))
+
+
+@query("sort_by_fields", M + " " + " UNION ALL ".join(
+    f"""SELECT '{field}' AS field, {str(up).lower()} AS ascending, source_id,
+        row_number() OVER (ORDER BY {column} {'ASC' if up else 'DESC'} NULLS LAST, source_id) AS place FROM mentions"""
+    for field, column in feed.SORTS.items() if column != "reach" for up in (False, True)))
+def _(spark, sf):
+    rows = base(spark, sf)
+    out = [feed.places(rows, field, up).select(F.lit(field).alias("field"), F.lit(up).alias("ascending"), "source_id", "place")
+           for field, column in feed.SORTS.items() if column != "reach" for up in (False, True)]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("risk_set", M + f"""SELECT source_id, source, author, intent, urgency, score, fraud_type, recommended_team,
-  substr(coalesce(text_masked, text), 1, 130) AS excerpt, {RANK} AS urgency_rank FROM mentions
+  coalesce(text_masked, text) AS excerpt, {RANK} AS urgency_rank FROM mentions
   WHERE fraud_signal = 1 OR churn_risk = 1 OR {RISKY}""")
 def _(spark, sf):
     return feed.risk_set(base(spark, sf))
 
 
-@query("pii_set", M + """SELECT source_id, source, author, pii_types, substr(text_masked, 1, 120) AS masked_excerpt
+@query("pii_set", M + """SELECT source_id, source, author, pii_types, text_masked AS masked_excerpt
   FROM mentions WHERE pii_present = 1""")
 def _(spark, sf):
     return feed.pii_set(base(spark, sf))
@@ -254,7 +264,7 @@ def _(spark, sf):
 
 
 @query("reply_worklist", M + f"""SELECT source_id, urgency, score FROM mentions WHERE {NEG} AND intent IN ('complaint', 'churn_threat',
-  'legal_threat', 'fraud_report') AND CAST(substr(source_id, 4) AS BIGINT) % 4 <> 0 ORDER BY {RANK} DESC, score, source_id LIMIT 15""")
+  'legal_threat', 'fraud_report') AND CAST(substr(source_id, 4) AS BIGINT) % 4 <> 0 ORDER BY {RANK} DESC, score, source_id""")
 def _(spark, sf):
     m = base(spark, sf)
     drafted = m.filter(F.expr("CAST(substring(source_id, 4) AS BIGINT) % 4 = 0"))
@@ -262,17 +272,16 @@ def _(spark, sf):
 
 
 @query("reply_drafts", M + f""", w AS (SELECT * FROM mentions WHERE {NEG} AND intent IN ('complaint', 'churn_threat',
-  'legal_threat', 'fraud_report') ORDER BY {RANK} DESC, score, source_id LIMIT 15)
-SELECT source_id, urgency, author, text_masked AS complaint, 'Hi, we''re sorry for the trouble and want to make this right. '
- || 'Please DM us your registered number / ticket ref and we''ll prioritise it. - Acme Bank Support' AS draft,
+  'legal_threat', 'fraud_report') ORDER BY {RANK} DESC, score, source_id)
+SELECT source_id, urgency, author, text_masked AS complaint, 'Thank you for telling us. Acme Bank looks into it and will answer here.' AS draft,
  'template' AS model, url FROM w""")
 def _(spark, sf):
     m = base(spark, sf)
-    return worklists.drafts_view(worklists.template_drafts(worklists.reply_worklist(m)), m)
+    return worklists.drafts_view(worklists.template_drafts(worklists.reply_worklist(m), "Thank you for telling us. {brand} looks into it and will answer here."), m)
 
 
 @query("translation_worklist", M + """SELECT source_id, lang, text AS english, 'passthrough' AS model FROM mentions
-  WHERE lang IN ('hi', 'hi-en') AND source <> 'news' ORDER BY source_id LIMIT 25""")
+  WHERE lang IN ('hi', 'hi-en') AND source <> 'news'""")
 def _(spark, sf):
     clean = base(spark, sf).withColumn("clean_text", F.col("text"))
     todo = worklists.translation_worklist(clean, clean.filter("source = 'news'"))
@@ -303,7 +312,7 @@ def refreshable(spark, sf):
 
 
 def _due(spark, sf):
-    return worklists.refresh_due(refreshable(spark, sf), F.lit("2024-01-30 12:00:00").cast("timestamp"), limit=None)
+    return worklists.refresh_due(refreshable(spark, sf), F.lit("2024-01-30 12:00:00").cast("timestamp"))
 
 
 @query("refresh_due", M + f", {REFRESH} SELECT source_id, refresh_count FROM due")

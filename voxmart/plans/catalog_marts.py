@@ -109,13 +109,25 @@ RM = """
     CASE WHEN NOT bad THEN 'none' WHEN coalesce(cat, 'not_applicable') <> 'not_applicable' THEN cat ELSE team END AS top_pain_area,
     CASE WHEN NOT list_contains(held, 'credit card') AND coalesce(cat, 'not_applicable') IN ('levy_of_charges',
         'deposit_accounts', 'not_applicable') AND coalesce(team, 'none') IN ('cards', 'customer_support', 'none')
-        THEN 'Lifetime-free credit card'
-      WHEN NOT list_contains(held, 'personal loan') AND team = 'payments_upi' THEN 'Pre-approved personal loan'
-      WHEN NOT list_contains(held, 'fixed deposit') AND want IN ('query', 'suggestion') THEN 'Fixed deposit / auto-sweep'
-      WHEN NOT list_contains(held, 'home loan') AND cat = 'loans_advances' THEN 'Home loan balance transfer'
-      WHEN NOT list_contains(held, 'insurance') AND list_contains(held, 'credit card') THEN 'Term / health cover'
-      WHEN NOT list_contains(held, 'demat') AND coalesce(team, 'none') IN ('none', 'customer_support') THEN 'Demat + 3-in-1'
-      ELSE 'Relationship / portfolio review' END AS cross_sell_product FROM f)"""
+        THEN 'Everyday card'
+      WHEN NOT list_contains(held, 'personal loan') AND team = 'payments_upi' THEN 'Instant loan'
+      WHEN NOT list_contains(held, 'fixed deposit') AND want IN ('query', 'suggestion') THEN 'Savings plan'
+      WHEN NOT list_contains(held, 'home loan') AND cat = 'loans_advances' THEN 'Loan transfer'
+      WHEN NOT list_contains(held, 'insurance') AND list_contains(held, 'credit card') THEN 'Cover plan'
+      WHEN NOT list_contains(held, 'demat') AND coalesce(team, 'none') IN ('none', 'customer_support') THEN 'Investing account'
+      ELSE 'Review meeting' END AS cross_sell_product FROM f)"""
+
+
+# An example of the input a house brings: its own offers.
+OFFERS = [
+    ("credit card", {"rbi_category": ("levy_of_charges", "deposit_accounts", "not_applicable"),
+                     "team": ("cards", "customer_support", "none")}, "Everyday card", "Offer the everyday card."),
+    ("personal loan", {"team": ("payments_upi",)}, "Instant loan", "Offer the instant loan."),
+    ("fixed deposit", {"intent": ("query", "suggestion")}, "Savings plan", "Offer the savings plan."),
+    ("home loan", {"rbi_category": ("loans_advances",)}, "Loan transfer", "Offer to move the loan."),
+    ("insurance", {"held": "credit card"}, "Cover plan", "Offer the cover plan."),
+    ("demat", {"team": ("none", "customer_support")}, "Investing account", "Offer the investing account."),
+]
 
 
 @query("mart_rm_enablement", with_ctes("mentions", "bridge", "customers", "threads") + f""", {INTERACTIONS}, {RM}
@@ -132,7 +144,8 @@ SELECT customer_key, customer_name, rm_id, rm_name, segment,
 def _(spark, sf):
     issues_by_customer = facts.fact_interaction(A.threads(spark, sf), thread_bridge(spark, sf))
     return marts.rm_enablement(A.customers(spark, sf), A.managers(spark, sf), A.bridge(spark, sf), base(spark, sf),
-                               issues_by_customer).drop("products_held", "cross_sell_pitch")
+                               issues_by_customer, OFFERS, ("Review meeting", "Offer a meeting.")).drop(
+                                   "products_held", "cross_sell_pitch")
 
 
 @query("half_split_trend", with_ctes("mentions") + """, o AS (SELECT author, score, row_number() OVER (PARTITION BY author
@@ -187,7 +200,7 @@ INFLUENCERS = """w AS (SELECT author, summary, url FROM (SELECT *, row_number()
   round(avg(score), 3) AS avg_score, CASE WHEN avg(score) >= 0.15 THEN 'positive' WHEN avg(score) <= -0.15 THEN 'negative'
   ELSE 'neutral' END AS stance FROM (SELECT * EXCLUDE (author_name) FROM mentions) LEFT JOIN nm USING (author)
   GROUP BY author ORDER BY reach DESC, author LIMIT 25),
- inf AS (SELECT board.*, substr(summary, 1, 160) AS worst_summary, url FROM board JOIN w USING (author))"""
+ inf AS (SELECT board.*, summary AS worst_summary, url FROM board JOIN w USING (author))"""
 
 
 @query("mart_influencers", MENTIONS + f", {INFLUENCERS} SELECT * FROM inf")
@@ -263,13 +276,13 @@ def _(spark, sf):
 
 
 @query("calendar_fill", MENTIONS + """, d AS (SELECT rbi_category AS category, created_date AS day, count(*) AS mentions
-  FROM mentions WHERE fraud_signal = 1 GROUP BY ALL),
+  FROM mentions GROUP BY ALL),
  cal AS (SELECT CAST(unnest(generate_series(min(created_date), max(created_date), INTERVAL 1 DAY)) AS DATE) AS day FROM mentions)
 SELECT k.category, cal.day, coalesce(d.mentions, 0) AS mentions FROM (SELECT DISTINCT category FROM d) k CROSS JOIN cal
 LEFT JOIN d ON d.category = k.category AND d.day = cal.day""")
 def _(spark, sf):
     rows = series.with_category_day(base(spark, sf))
-    volume = series.daily_volume(rows.filter("fraud_signal = 1"))
+    volume = series.daily_volume(rows)
     return series.fill_calendar(volume, dims.dim_date(rows)).select("category", "day", "mentions")
 
 

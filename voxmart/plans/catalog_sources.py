@@ -74,6 +74,41 @@ def _(spark, sf):
     return imports.imported(_export(spark, sf)).select("source_id", "author", "engagement", F.md5("text").alias("text_md5"), stamp())
 
 
+@query("csv_import", rf"""WITH {GATE}, r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'empty' WHEN doc_id % 10 = 5 THEN 'blocklisted'
+ WHEN doc_id % 10 = 1 THEN 'untraceable' WHEN NOT (word OR handle) THEN 'off-brand' END AS reason FROM gt)
+SELECT coalesce(reason, 'imported') AS reason, count(*) AS rows, CAST(sum(CASE WHEN reason IS NULL THEN 1000 + doc_id % 1000 END) AS BIGINT) AS engagement,
+ min(CASE WHEN reason IS NULL THEN 'x:' || (doc_id + 1000000000000) END) AS first_id,
+ CAST(sum(CASE WHEN reason IS NULL THEN length(regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g')) END) AS BIGINT) AS chars
+FROM r JOIN documents USING (doc_id) GROUP BY 1""")
+def _(spark, sf):
+    """Written as CSV files with 500 comment lines on top and two kinds of header, then read by the CSV reader."""
+    k, n = F.col("doc_id") % 10, (F.col("doc_id") + 10 ** 12).cast("string")
+    spam = "the same words again"
+    rows = docs(spark, sf).select(
+        (F.col("doc_id") % 4).alias("file"), "doc_id", F.when(k == 0, "  ").when(k == 5, spam).otherwise(F.col("text")).alias("body"),
+        F.when(k == 1, F.lit("77")).otherwise(n).alias("id"), F.concat(F.lit("1,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")).alias("likes"))
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(F.col("file") % 2 == 0, F.concat_ws(",", cell("body"), "id", cell("likes"))).otherwise(
+        F.concat_ws(",", cell("likes"), "id", cell("body")))
+    head = F.concat(F.repeat(F.lit("# a note, not a post\n"), 500), F.when(F.col("file") % 2 == 0, "full_text,id_str,likes\n").otherwise(
+        "Favorites,tweet_id,Content\n"))
+    path = scratch_path(spark, "csv-import")
+    lines = rows.select("file", F.col("doc_id").alias("at"), line.alias("value")).unionByName(
+        rows.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("at"), head.alias("value")))
+    lines.repartition(4, "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
+    seen = imports.triaged(imports.read_csv(spark, path), (_fingerprint(spam),), brand=TEXT_BRAND)
+    good = imports.imported(seen).agg(F.lit("imported").alias("reason"), F.count(F.lit(1)).alias("rows"), F.sum("engagement").alias("engagement"),
+                                      F.min("source_id").alias("first_id"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("engagement", "bigint"), ("first_id", "string"), ("chars", "bigint"))]
+    return good.unionByName(imports.refused(seen).select("reason", "rows", *none))
+
+
+def _fingerprint(text: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 @query("tweet_mapper", """SELECT 'x:' || event_id AS source_id, '@user' || user_id AS author, event_type AS text, CAST(floor(value) AS BIGINT) AS engagement,
  CASE WHEN event_id % 2 = 0 THEN event_id END AS view_count, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
 def _(spark, sf):
@@ -109,7 +144,7 @@ def _(spark, sf):
 
 def _feeds(spark, sf):
     """One RSS document per user, its items in the order of the events."""
-    e = events(spark, sf).filter(F.col("event_id") % 2 == 0)
+    e = events(spark, sf)
     item = F.concat(F.lit("<item><title>R to @bank: "), F.col("event_type"), F.lit(" &amp;amp; more</title><link>https://n.example/u"), s("user_id"), F.lit("/status/"),
                     (F.col("event_id") + 10 ** 9).cast("string"), F.lit("#m</link><dc:creator>@u"), s("user_id"), F.lit("</dc:creator><pubDate>"),
                     F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate><description><![CDATA[<p>about "), F.col("event_type"),
@@ -120,18 +155,18 @@ def _feeds(spark, sf):
 
 
 @query("rss_items", """SELECT 'feed' || user_id AS feed, 'https://n.example/u' || user_id || '/status/' || (event_id + 1000000000) || '#m' AS link,
- 'R to @bank: ' || event_type || ' & more' AS title, '@u' || user_id AS author, 'about ' || event_type AS summary FROM events WHERE event_id % 2 = 0""")
+ 'R to @bank: ' || event_type || ' & more' AS title, '@u' || user_id AS author, 'about ' || event_type AS summary FROM events""")
 def _(spark, sf):
     return mappers.rss_items(_feeds(spark, sf)).select("feed", "link", "title", "author", "summary")
 
 
 @query("rss_tweets", """SELECT 'x:' || (event_id + 1000000000) AS source_id, '@u' || user_id AS author, event_type || ' & more' AS text,
- strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 2 = 0""")
+ strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
 def _(spark, sf):
     return mappers.rss_tweets(mappers.rss_items(_feeds(spark, sf))).select("source_id", "author", "text", stamp())
 
 
-@query("fresh_feeds", """SELECT 'feed' || user_id AS feed, count(*) AS items FROM events WHERE event_id % 2 = 0 GROUP BY user_id
+@query("fresh_feeds", """SELECT 'feed' || user_id AS feed, count(*) AS items FROM events GROUP BY user_id
  HAVING max(date_trunc('second', ts)) >= TIMESTAMP '2024-01-30 18:00:00'""")
 def _(spark, sf):
     at = F.lit("2024-02-29 18:00:00").cast("timestamp")
@@ -139,7 +174,7 @@ def _(spark, sf):
 
 
 @query("rss_news", """SELECT 'rssnews:' || substr(md5('https://n.example/u' || user_id || '/status/' || (event_id + 1000000000) || '#m'), 1, 12) AS source_id,
- 'R to @bank: ' || event_type || ' & more. about ' || event_type AS text, 'feed' || user_id AS author FROM events WHERE event_id % 2 = 0""")
+ 'R to @bank: ' || event_type || ' & more. about ' || event_type AS text, 'feed' || user_id AS author FROM events""")
 def _(spark, sf):
     return mappers.rss_news(mappers.rss_items(_feeds(spark, sf)), gate=False).select("source_id", "text", "author")
 
@@ -172,8 +207,8 @@ def _(spark, sf):
     return mappers.hackernews_hits(paged.unionByName(paged), gate=False).select("source_id", "text", "engagement", stamp())
 
 
-@query("reddit_submissions", rf"""WITH {GATE}, t AS (SELECT doc_id, substr(regexp_replace('title ' || doc_id || chr(10) || CASE WHEN doc_id % 6 = 0 THEN '' ELSE
- regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g') END, '[\s]+$', ''), 1, 4000) AS body FROM documents),
+@query("reddit_submissions", rf"""WITH {GATE}, t AS (SELECT doc_id, regexp_replace('title ' || doc_id || chr(10) || CASE WHEN doc_id % 6 = 0 THEN '' ELSE
+ regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g') END, '[\s]+$', '') AS body FROM documents),
  g AS (SELECT doc_id, body, regexp_matches(lower(body), '{_B}les{_E}') AS word, regexp_matches(lower(body), '{_B}der[\s\p{{Z}}._-]*un|@les') AS strong,
  regexp_matches(lower(body), '{_B}les[\s\p{{Z}}]+que{_E}|{_B}des[\s\p{{Z}}]+les{_E}') AS homonym, regexp_matches(lower(body), '{_B}(pour|avec|dans|est){_E}') AS context FROM t)
 SELECT 'reddit:d' || doc_id AS source_id, md5(body) AS text_md5, CAST(doc_id % 100 AS BIGINT) AS engagement FROM g
@@ -497,9 +532,12 @@ def _(spark, sf):
     return spark.read.parquet(path).select(F.col("source_id").cast("bigint").alias("doc_id"), "score")
 
 
-_TABLES = ("customer", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations")
 
 
-@query("table_inventory", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in _TABLES))
+@query("table_inventory", " UNION ALL ".join(f"""SELECT '{t}' AS "table", (SELECT count(*) FROM {t}) AS rows,
+ CAST(count(*) AS INTEGER) AS columns, string_agg(column_name, ', ' ORDER BY column_index) AS column_list
+ FROM duckdb_columns() WHERE table_name = '{t}'""" for t in _TABLES))
 def _(spark, sf):
-    return store.inventory({t: A.table(spark, sf, t) for t in _TABLES}).select("table", "rows")
+    return store.inventory({t: A.table(spark, sf, t) for t in _TABLES})

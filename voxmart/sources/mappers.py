@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from voxmart.config import BRAND, THRESHOLDS, Brand
 from voxmart.functions import dates, gates, numbers, text
-from voxmart.sources.payload import Doc, each, joined, once, parsed, posts, truncated
-from voxmart.sources.store import first_per_key
+from voxmart.sources.payload import Doc, each, joined, once, parsed, posts
 
-MAX = THRESHOLDS.max_text
 
 
 def _handle(name: Column) -> Column:
@@ -130,11 +128,6 @@ def one_per_id(rows: DataFrame) -> DataFrame:
         "source_id", *[F.col(f"_b.{c}").alias(c) for c in fields]).select(*rows.columns)
 
 
-def newest(rows: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` rows (the source's own cap)."""
-    return rows.orderBy(F.desc_nulls_last("created_at"), "source_id").limit(n)
-
-
 # ---------------------------------------------------------------- forums
 def hackernews_hits(payloads: DataFrame, brand: Brand = BRAND, gate: bool = True) -> DataFrame:
     """Search hits: title and body, date rebuilt from the epoch where it is missing."""
@@ -164,7 +157,7 @@ def reddit_submissions(payloads: DataFrame, brand: Brand = BRAND, gate: bool = T
     """Submissions. The gate sees the text as stored, that is after truncation."""
     d = Doc(F.col("_doc"))
     body = F.when(d.text("$.selftext").isin(*REMOVED), F.lit("")).otherwise(d.text("$.selftext", default=""))
-    rows = once(parsed(payloads), _t=truncated(text.strip_edges(F.concat(d.text("$.title", default=""), F.lit("\n"), body)), MAX))
+    rows = once(parsed(payloads), _t=text.strip_edges(F.concat(d.text("$.title", default=""), F.lit("\n"), body)))
     said = F.col("_t")
     pid = d.text("$.id")
     keep = pid.isNotNull() & (F.length(said) > 0)
@@ -186,7 +179,7 @@ def reddit_comments(payloads: DataFrame, threads: DataFrame) -> DataFrame:
     parent = F.regexp_replace(d.text("$.link_id"), "^t3_", "")
     rows = parsed(payloads).filter(cid.isNotNull() & body.isNotNull() & ~body.isin(*REMOVED))
     out = posts(rows, "reddit", date=d.text("$.created_utc"), source_id=F.concat(F.lit("reddit:c_"), cid), author=d.text("$.author"),
-                author_name=d.text("$.author"), text=truncated(body, MAX),
+                author_name=d.text("$.author"), text=body,
                 url=F.concat(F.lit("https://reddit.com"), d.text("$.permalink", default="")),
                 engagement=F.coalesce(d.count("$.score"), F.lit(0)), conversation_id=parent, lang=F.lit("en"))
     return one_per_id(out).join(threads.select("conversation_id"), "conversation_id", "left_semi").select(*out.columns)
@@ -296,7 +289,7 @@ def rss_news(items: DataFrame, brand: Brand = BRAND, source: str = "rssnews", ga
     key = F.coalesce("guid", "link", "_t")
     return one_per_id(posts(rows, source, date=F.col("published"),
                             source_id=F.concat(F.lit(f"{source}:"), F.substring(F.md5(key), 1, 12)), author=F.col("feed"),
-                            text=truncated(F.col("_t"), MAX), url=F.col("link"), engagement=F.lit(0), lang=F.lit("en")))
+                            text=F.col("_t"), url=F.col("link"), engagement=F.lit(0), lang=F.lit("en")))
 
 
 # Language names as the news index spells them.
@@ -313,7 +306,7 @@ def gdelt_articles(payloads: DataFrame) -> DataFrame:
     stamp = F.try_to_timestamp(d.text("$.seendate"), F.lit("yyyyMMdd'T'HHmmss'Z'"))
     return one_per_id(posts(rows, "gdelt", date=d.text("$.seendate"), created_at=stamp,
                             source_id=F.concat(F.lit("gdelt:"), F.substring(F.md5(F.coalesce(link, title)), 1, 12)),
-                            author=d.text("$.domain", default="gdelt"), text=truncated(title, MAX), url=link, engagement=F.lit(0),
+                            author=d.text("$.domain", default="gdelt"), text=title, url=link, engagement=F.lit(0),
                             lang=F.coalesce(F.element_at(codes, name), F.nullif(F.substring(name, 1, 8), F.lit("")), F.lit("en"))))
 
 
@@ -326,12 +319,12 @@ def youtube_videos(payloads: DataFrame, brand: Brand = BRAND, gate: bool = True)
         keep = keep & gates.brand_word(F.concat_ws(" ", said, d.text("$.channel")), brand)
     lang = F.when(said.rlike(text.DEVANAGARI), "hi").otherwise("en")
     return posts(parsed(payloads).filter(keep), "youtube", date=d.text("$.published"), source_id=F.concat(F.lit("yt:v_"), d.text("$.vid")),
-                 author=d.text("$.channel"), author_name=d.text("$.channel"), text=truncated(said, MAX),
+                 author=d.text("$.channel"), author_name=d.text("$.channel"), text=said,
                  url=F.concat(F.lit("https://www.youtube.com/watch?v="), d.text("$.vid")), lang=lang,
                  engagement=F.coalesce(d.count("$.views"), F.lit(0)), reply_count=F.lit(0), conversation_id=d.text("$.vid"))
 
 
-def youtube_comments(payloads: DataFrame, as_of: Column, brand: Brand = BRAND, per_thread: int | None = None) -> DataFrame:
+def youtube_comments(payloads: DataFrame, as_of: Column, brand: Brand = BRAND) -> DataFrame:
     """Comments with enough content, gated per thread; dates are approximate ("2 weeks ago")."""
     d = Doc(F.col("_doc"))
     body = d.text("$.text", default="")
@@ -341,17 +334,12 @@ def youtube_comments(payloads: DataFrame, as_of: Column, brand: Brand = BRAND, p
     rows = rows.filter(d.text("$.id").isNotNull() & text.has_min_content(body))
     out = posts(rows, "youtube", date=when, created_at=F.coalesce(dates.relative(when, as_of), dates.parse_datetime(when)),
                 source_id=F.concat(F.lit("yt:"), d.text("$.id")), author=d.text("$.author"),
-                author_name=F.regexp_replace(d.text("$.author"), "^@+", ""), text=truncated(body, MAX),
+                author_name=F.regexp_replace(d.text("$.author"), "^@+", ""), text=body,
                 url=F.concat(F.lit("https://www.youtube.com/watch?v="), d.text("$.vid"), F.lit("&lc="), d.text("$.id")),
                 lang=F.when(body.rlike(text.DEVANAGARI), "hi").otherwise("en"),
                 engagement=numbers.magnitude(d.text("$.likes")), reply_count=numbers.magnitude(d.text("$.replies")),
                 conversation_id=d.text("$.vid"))
-    kept = thread_gate(one_per_id(out), "conversation_id", gates.brand_word(F.col("text"), brand))
-    if per_thread is None:
-        return kept
-    # Capped only after the gate has seen the whole thread.
-    rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc_nulls_last("created_at"), "source_id"))
-    return kept.withColumn("_rn", rank).filter(F.col("_rn") <= per_thread).drop("_rn")
+    return thread_gate(one_per_id(out), "conversation_id", gates.brand_word(F.col("text"), brand))
 
 
 def thread_gate(rows: DataFrame, thread: str, named: Column) -> DataFrame:
@@ -471,7 +459,3 @@ def metrics(payloads: DataFrame, wanted: DataFrame) -> DataFrame:
     exact = F.struct((F.col("ref") == F.col("source_id")).alias("full"), "likes", "reshares", "comments", "views")
     return hit.groupBy("source_id").agg(F.max(exact).alias("m")).select(
         "source_id", "m.likes", "m.reshares", "m.comments", "m.views")
-
-
-def first_rows(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    return first_per_key(rows, key, list(order))

@@ -76,10 +76,6 @@ def posts(rows: DataFrame, source: str | Column, date: Column | None = None, cre
     return rows.select(*picked, raw.alias("raw_created_at"), *keep)
 
 
-def truncated(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
-
-
 def joined(separator: str, *parts: Column) -> Column:
     """Non-empty parts joined; blanks and stray separators at both ends removed."""
     text = F.concat_ws(separator, *[F.nullif(p, F.lit("")) for p in parts])

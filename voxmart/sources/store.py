@@ -36,13 +36,6 @@ def one_per_post(rows: DataFrame, batch: str = "_batch") -> DataFrame:
             .select("source_id", *[F.col(f"b.{c}").alias(c) for c in fields]))
 
 
-def first_per_key(rows: DataFrame, key, order: list[Column]) -> DataFrame:
-    """First row per key in the given order."""
-    keys = [key] if isinstance(key, str) else list(key)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rn", rank).filter(F.col("_rn") == 1).drop("_rn")
-
-
 def insert_new(stored: DataFrame, rows: DataFrame, key) -> DataFrame:
     """Rows whose key is not stored yet (to be appended)."""
     return rows.join(stored.select(key), key, "left_anti")

@@ -194,8 +194,3 @@ class Recluster:
             F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("batch") < number, F.col("n"))), F.lit(0)).alias("before")).first()
         if seen["all"] // self.every > seen["before"] // self.every:
             self.action(spark, seen["all"])
-
-
-def as_of_window(posts: DataFrame, as_of: Column, span: str) -> DataFrame:
-    """The batch counterpart of a rolling window, for back-fills."""
-    return posts.filter(F.col("created_at") >= as_of - F.expr(f"interval {span}"))
