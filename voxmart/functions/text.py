@@ -23,7 +23,7 @@ RETWEET_PREFIX = r"(?U)^[\s\x1c-\x1f]*RT\b[:,]?"
 WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 ZERO_WIDTH = "[\u200b\ufeff]"
-HASH_DROP = "[^a-z0-9\u0900-\u097f ]"
+HASH_DROP = "[^a-z0-9\u0900-\u097f ]+"
 DEVANAGARI = "[\u0900-\u097f]"
 EMOJI = "[\\x{1F000}-\\x{1FAFF}\u2600-\u27bf]"
 LONG_REPEAT = r"(.)\1{6,}"
@@ -43,8 +43,8 @@ def contains_any(text: Column, needles) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim."""
-    blanks = F.translate(text, WHITE, " " * len(WHITE))
-    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
+    # Single blanks stay as they are: only other white space and longer runs are matched.
+    return F.trim(F.regexp_replace(text, f"(?:(?! )[{BLANK}][{BLANK}]*| [{BLANK}]+)", " "))
 
 
 def strip_edges(text: Column) -> Column:
@@ -76,15 +76,22 @@ def dedup_key(cleaned: Column) -> Column:
 
 
 def detect_language(cleaned: Column) -> Column:
-    # Only the listed words are pulled out, as whole runs of a-z.
-    listed = "(?<![a-z])(" + "|".join(HINGLISH) + ")(?![a-z])"
+    # Only the listed words are pulled out, as whole runs of a-z. The character before one is part of the match: where there is
+    # none, the search goes on at once, without trying the words.
+    listed = "(?:^|[^a-z])(" + "|".join(HINGLISH) + ")(?![a-z])"
     hinglish = F.size(F.array_distinct(F.regexp_extract_all(F.lower(cleaned), F.lit(listed), F.lit(1))))
-    return F.when(cleaned.rlike(DEVANAGARI), "hi").when(hinglish >= 2, "hi-en").otherwise("en")
+    return F.when(_beyond_latin(cleaned) & cleaned.rlike(DEVANAGARI), "hi").when(hinglish >= 2, "hi-en").otherwise("en")
+
+
+def _beyond_latin(text: Column) -> Column:
+    """False for texts whose characters take two bytes at most, as all below U+0800 do. Cheap, and rules nearly all texts out
+    before their characters are looked at."""
+    return F.octet_length(text) > F.length(text) + F.length(F.regexp_replace(text, "[\\x00-\\x7f]+", ""))
 
 
 def spam_flag(cleaned: Column, n_urls: Column) -> Column:
     spam = ((n_urls >= 3) | contains_any(F.lower(cleaned), PROMO)
-            | (F.regexp_count(cleaned, F.lit(EMOJI)) >= 6) | cleaned.rlike(LONG_REPEAT))
+            | (_beyond_latin(cleaned) & (F.regexp_count(cleaned, F.lit(EMOJI)) >= 6)) | cleaned.rlike(LONG_REPEAT))
     return F.when(spam, 1).otherwise(0)
 
 

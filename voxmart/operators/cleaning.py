@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmart.functions import pii, text
+from voxmart.session import cut_lineage
+from voxmart.sources.payload import once
 
 
 def clean(posts: DataFrame) -> DataFrame:
     """Add ``n_urls``, ``clean_text`` and ``text_hash``; the raw text stays as it is."""
-    return (posts
-            .withColumns({"n_urls": text.url_count(F.col("text")),
-                          "clean_text": text.clean_text(F.col("text"))})
-            .withColumn("text_hash", text.dedup_key(F.col("clean_text"))))
+    rows = once(posts.drop("n_urls", "clean_text", "text_hash"), n_urls=text.url_count(F.col("text")), clean_text=text.clean_text(F.col("text")))
+    return once(rows, text_hash=text.dedup_key(F.col("clean_text")))
 
 
 def canonical_ids(hashed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -32,22 +32,29 @@ def canonical_ids(hashed: DataFrame, stored: DataFrame | None = None) -> DataFra
 
 
 def mark_duplicates(hashed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Add ``is_duplicate``: 0 on the canonical post of a text, 1 on every other copy."""
-    canon = canonical_ids(hashed, stored).withColumn("_canonical", F.lit(True))
-    return (hashed.join(canon, "source_id", "left")
-            .withColumn("is_duplicate", F.when(F.col("_canonical"), 0).otherwise(1))
-            .drop("_canonical"))
-
-
-def enrich(marked: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """clean_posts rows: masked text, language, hash, copy mark, spam, kinds of personal data."""
-    out = (pii.mask_pii(marked, "clean_text", masked="_masked")
-           .select("source_id", F.col("_masked").alias("clean_text"),
-                   text.detect_language(F.col("clean_text")).alias("lang"),
-                   "text_hash", "is_duplicate",
-                   text.spam_flag(F.col("clean_text"), F.col("n_urls")).alias("spam_flag"),
-                   F.array_join("pii_type_list", ",").alias("pii_types")))
-    return out if as_of is None else out.withColumn("transformed_at", as_of)
+    """Add ``is_duplicate``: 0 on the canonical post of a text, 1 on every other copy.
+
+    ``hashed`` should be stored or cheap: its ids, dates and hashes are read apart from its other columns. Only the ids of the
+    copies are joined back.
+    """
+    narrow = hashed.select("source_id", "created_at", "text_hash")
+    copies = narrow.select("source_id").join(canonical_ids(narrow, stored), "source_id", "left_anti")
+    return (hashed.join(copies.withColumn("_copy", F.lit(1)), "source_id", "left")
+            .withColumn("is_duplicate", F.coalesce("_copy", F.lit(0))).drop("_copy"))
+
+
+def duplicates(posts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(source_id, text_hash, is_duplicate): texts are read once and only their hashes kept."""
+    return mark_duplicates(cut_lineage(clean(posts).select("source_id", "created_at", "text_hash"), "hashes"), stored) \
+        .drop("created_at")
+
+
+def enrich(cleaned: DataFrame) -> DataFrame:
+    """All row-wise columns of clean_posts: masked text, language, hash, spam, kinds of personal data."""
+    rows = once(cleaned.select("source_id", "created_at", "n_urls", "clean_text", "text_hash"), lang=text.detect_language(F.col("clean_text")), spam_flag=text.spam_flag(F.col("clean_text"), F.col("n_urls")))
+    return pii.mask_pii(rows, "clean_text", masked="_masked").select(
+        "source_id", "created_at", F.col("_masked").alias("clean_text"), "lang", "text_hash", "spam_flag",
+        F.array_join("pii_type_list", ",").alias("pii_types"))
 
 
 def not_yet(source: DataFrame, done: DataFrame, key: str = "source_id") -> DataFrame:
@@ -56,9 +63,15 @@ def not_yet(source: DataFrame, done: DataFrame, key: str = "source_id") -> DataF
 
 
 def transform_posts(raw: DataFrame, stored: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
-    """The whole stage; with ``stored`` only new posts are processed."""
+    """The whole stage; with ``stored`` only new posts are processed.
+
+    One pass over the texts writes all row-wise columns to the shared folder; the copies are then found on the stored ids,
+    dates and hashes.
+    """
     todo = raw if stored is None else not_yet(raw, stored)
-    return enrich(mark_duplicates(clean(todo), stored), as_of)
+    out = mark_duplicates(cut_lineage(enrich(clean(todo)), "clean-posts"), stored).select(
+        "source_id", "clean_text", "lang", "text_hash", "is_duplicate", "spam_flag", "pii_types")
+    return out if as_of is None else out.withColumn("transformed_at", as_of)
 
 
 def transform_stats(clean_posts: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ DUP = """cd AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY text_hash OR
 
 @query("duplicates", with_ctes("posts") + f", {CLEAN}, {DUP} SELECT source_id, text_hash, is_duplicate FROM cd")
 def _(spark, sf):
-    return cleaning.mark_duplicates(cleaning.clean(docs(spark, sf))).select("source_id", "text_hash", "is_duplicate")
+    return cleaning.duplicates(docs(spark, sf))
 
 
 @query("duplicates_incremental", with_ctes("posts") + f""", {CLEAN}, old AS (SELECT DISTINCT text_hash FROM ch WHERE doc_id % 3 = 0),
@@ -81,11 +81,6 @@ FLAGS = rf"""cf AS (SELECT *, CASE WHEN regexp_matches(clean, '[\x{{900}}-\x{{97
   THEN 1 ELSE 0 END AS spam FROM cd)"""
 
 
-@query("clean_posts", with_ctes("posts") + f", {CLEAN}, {DUP}, {FLAGS} SELECT source_id, det AS lang, text_hash, is_duplicate, spam AS spam_flag FROM cf")
-def _(spark, sf):
-    return cleaning.transform_posts(docs(spark, sf)).select("source_id", "lang", "text_hash", "is_duplicate", "spam_flag")
-
-
 # Cases the documents do not contain: every branch of the language and spam rules.
 _CASES = ("paise nahi mile yaar", "नमस्ते bank", "hello there", "click here to win", "call me yessssssss",
           "\U0001F600\U0001F600\U0001F600\U0001F600\U0001F600\U0001F600 wow", "no problem ho", "plain post")
@@ -100,13 +95,6 @@ def _(spark, sf):
         "event_id", text.detect_language(case).alias("lang"), text.spam_flag(case, urls).alias("spam"))
 
 
-@query("transform_stats", with_ctes("posts") + f""", {CLEAN}, {DUP}, {FLAGS}
-SELECT 'rows' AS metric, count(*) AS n FROM cf UNION ALL SELECT 'duplicates', count(*) FILTER (is_duplicate = 1) FROM cf
-UNION ALL SELECT 'spam', count(*) FILTER (spam = 1) FROM cf UNION ALL SELECT 'lang:' || det, count(*) FROM cf GROUP BY det""")
-def _(spark, sf):
-    return cleaning.transform_stats(cleaning.transform_posts(docs(spark, sf))).filter("metric <> 'with_pii'")
-
-
 PII = rf"""m1 AS (SELECT doc_id, text, regexp_replace(text, '\b[A-Za-z0-9_.%+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{{2,}}\b', '[EMAIL]', 'g') AS p1 FROM documents),
  m2 AS (SELECT *, regexp_replace(p1, '\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\b', '[PAN]', 'g') AS p2 FROM m1),
  m3 AS (SELECT *, regexp_extract_all(p2, '(?i)\b(otp|cvv|pin|code)\b[^\d]{{0,10}}(\d{{3,6}})\b', 1) AS kw,
@@ -124,6 +112,25 @@ PII = rf"""m1 AS (SELECT doc_id, text, regexp_replace(text, '\b[A-Za-z0-9_.%+-]+
   ELSE 2 * CAST(d AS INT) END ELSE CAST(d AS INT) END for d, i in string_split(r, '')]) % 10 = 0)""")
 
 
+KINDS = "array_to_string([f for f, i in found if list_position(found, f) = i], ',')"
+CLEANED = f"""{{posts}}, {CLEAN}, {DUP}, {FLAGS}, {PII.replace("FROM documents", "FROM (SELECT doc_id, clean AS text FROM cf)")},
+ finished AS (SELECT cf.*, md5(masked) AS clean_md5, {KINDS} AS pii_types FROM cf JOIN m7 USING (doc_id))""".replace("{posts}", with_ctes("posts"))
+
+
+@query("clean_posts", CLEANED + " SELECT source_id, clean_md5, det AS lang, text_hash, is_duplicate, spam AS spam_flag, pii_types FROM finished")
+def _(spark, sf):
+    return cleaning.transform_posts(docs(spark, sf)).select(
+        "source_id", F.md5("clean_text").alias("clean_md5"), "lang", "text_hash", "is_duplicate", "spam_flag", "pii_types")
+
+
+@query("transform_stats", CLEANED + """
+SELECT 'rows' AS metric, count(*) AS n FROM finished UNION ALL SELECT 'duplicates', count(*) FILTER (is_duplicate = 1) FROM finished
+UNION ALL SELECT 'spam', count(*) FILTER (spam = 1) FROM finished UNION ALL SELECT 'with_pii', count(*) FILTER (pii_types <> '') FROM finished
+UNION ALL SELECT 'lang:' || det, count(*) FROM finished GROUP BY det""")
+def _(spark, sf):
+    return cleaning.transform_stats(cleaning.transform_posts(docs(spark, sf)))
+
+
 @query("pii_masked", f"""WITH {PII} SELECT doc_id, md5(masked) AS masked_md5, length(masked) AS n,
  CASE WHEN len(found) > 0 THEN 1 ELSE 0 END AS pii_present,
  array_to_string([f for f, i in found if list_position(found, f) = i], ',') AS pii_types FROM m7""")
