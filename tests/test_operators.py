@@ -176,15 +176,15 @@ def brute_force(ids, vectors, distance):
         groups[best[1]] += groups.pop(best[2])
 
 
-@pytest.mark.parametrize("residual", [0, 4096])
-def test_average_linkage_equals_brute_force(spark, residual):
+@pytest.mark.parametrize("component", [0, 8, 2048])
+def test_average_linkage_equals_brute_force(spark, component):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     x = centres[rng.integers(0, 6, 40)] + rng.normal(scale=0.55, size=(40, 8))
     x[7] = x[3]
     ids = [f"p{i:02d}" for i in range(40)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "source_id string, embedding array<double>")
-    got = issues.cluster(df, distance=0.35, chunk=7, pivots=4, residual=residual).toPandas()
+    got = issues.cluster(df, distance=0.35, chunk=7, pivots=4, component=component).toPandas()
     assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, x, 0.35)
 
 

@@ -7,7 +7,6 @@ from voxmart.plans import registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.load()
-SLOW = {"issue_clusters_of_posts"}  # covered on a small fixture in test_issues
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def duck():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:

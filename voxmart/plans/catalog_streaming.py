@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxmart import adapters as A
 from voxmart.adapters import with_ctes
+from voxmart.operators import issues
 from voxmart.plans.catalog_facts import NEG
 from voxmart.plans.catalog_sources import firehose
 from voxmart.plans.catalog_text import CLEAN, DUP, FLAGS
@@ -116,10 +117,17 @@ def _(spark, sf):
     return tally("dated").unionByName(tally("undated"))
 
 
-@query("stream_recluster", "SELECT 'fired' AS state, CAST(count(*) AS BIGINT) AS seen FROM events")
+@query("stream_recluster", """SELECT min('ev:' || event_id) AS cluster, count(*) AS size FROM events GROUP BY event_type""")
 def _(spark, sf):
+    """Posts stream in; once enough of them have been seen, all stored posts are clustered anew by the vector of their kind."""
     out, ck = paths(spark, "recluster")
-    fired = []
-    hook = jobs.Recluster(out, 100, lambda _spark, seen: fired.append(seen))
+    stored, kinds = A.table(spark, sf, "events"), ["click", "error", "purchase", "signup", "view"]
+    vectors = stored.select(F.concat(F.lit("ev:"), "event_id").alias("source_id"), F.array(
+        *[(F.col("event_type") == k).cast("double") for k in kinds], F.lit(0.05)).alias("embedding"))
+
+    def action(_spark, seen):
+        issues.cluster(vectors).groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).write.mode("overwrite").parquet(f"{out}-clusters")
+
+    hook = jobs.Recluster(out, 100, action)
     run(mention_stream(spark, sf).select("source_id").writeStream.foreachBatch(hook).option("checkpointLocation", ck))
-    return spark.range(1).select(F.lit("fired" if fired else "waiting").alias("state"), F.lit(fired[-1] if fired else 0).cast("bigint").alias("seen"))
+    return spark.read.parquet(f"{out}-clusters")
\ No newline at end of file
