@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tests.llm.conftest import SF
-from voxmart.llm import components, simhash
+from voxmart.llm import simhash
+from voxmart.operators import components
 
 
 def brute(text):
