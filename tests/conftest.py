@@ -9,12 +9,14 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from voxmart.session import build_session
+def spark(tmp_path_factory):
+    from voxmart.session import build_session, clear_scratch
 
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clear_scratch(session)
     session.stop()

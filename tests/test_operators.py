@@ -293,6 +293,28 @@ def test_late_rows_are_dropped_and_retired_posts_stay_silent(spark, tmp_path):
     assert [r["iteration"] for r in got] == list(range(1, 13)) and got[-1]["retired"] and got[8]["likes_delta"] == 43
 
 
+def test_lifecycle_never_starts_again_and_late_rows_are_counted(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "source_id string, captured_at timestamp, likes bigint, first_seen timestamp"
+    first = D(2026, 7, 1)
+    batches = [[("p", D(2026, 7, 1, h), h, first) for h in range(4)], [("q", D(2026, 7, 6), 1, D(2026, 7, 6))],
+               [("q", D(2026, 7, 6, 1), 2, D(2026, 7, 6))], [("p", D(2026, 7, 6, 2), 99, first), ("p", D(2026, 7, 1, 5), 98, first)]]
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    try:
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+            stream = jobs.landing(spark, src, spark.read.parquet(src).schema, "*.parquet")
+            q = jobs.append_to(jobs.engagement_lifecycle(stream), out, ck).trigger(availableNow=True).start()
+            assert q.awaitTermination(120), n
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(late)
+    got = sorted((r["source_id"], r["iteration"], r["likes"]) for r in spark.read.parquet(out).collect())
+    assert got == [("p", i + 1, i) for i in range(4)] + [("q", 1, 1), ("q", 2, 2)]
+    assert sum(late.dropped.values()) == 1
+
+
 def test_share_of_voice_sums_to_100(spark):
     own = spark.createDataFrame([("negative", 0.1)] * 3, "sentiment string, score double")
     other = spark.createDataFrame([("B", "positive", 0.5), ("C", "neutral", 0.0)], "brand string, sentiment string, score double")

@@ -73,7 +73,7 @@ def main() -> int:
     ap.add_argument("--show", type=int, default=2)
     args = ap.parse_args()
     from voxmart.plans import registry
-    from voxmart.session import build_session
+    from voxmart.session import build_session, clear_scratch
 
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
@@ -98,6 +98,7 @@ def main() -> int:
             diff, note = ["error"], "ERROR " + type(e).__name__ + " " + text[:700]
         bad += bool(diff)
         print(f"{name:34s} {time.time() - t:6.2f}s {note}", flush=True)
+    clear_scratch(spark)
     print(f"{bad} with differences")
     return 1 if bad else 0
 

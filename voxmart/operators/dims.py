@@ -43,31 +43,31 @@ def vw_mention(facts: DataFrame, analysis: DataFrame, dates: DataFrame, sources:
     tier = authors.select("author_key", "influence_tier", "is_customer")
     return (facts.drop("emotion", "sarcasm", "theme", "root_cause", "fraud_type", "summary")
             .join(detail, "source_id", "left").join(days, "date_key", "left")
-            .join(F.broadcast(sources.select("source_key", "source_type", "medium", "reliability")),
+            .join(sources.select("source_key", "source_type", "medium", "reliability"),
                   "source_key", "left")
             .join(tier, "author_key", "left")
-            .join(F.broadcast(teams.select(F.col("team_code").alias("recommended_team"), "team_name",
-                                           "sla_hours", "is_escalation")), "recommended_team", "left")
-            .join(F.broadcast(categories.select(F.col("category_code").alias("rbi_category"),
-                                                "category_name", "is_regulatory", "severity")),
+            .join(teams.select(F.col("team_code").alias("recommended_team"), "team_name",
+                                           "sla_hours", "is_escalation"), "recommended_team", "left")
+            .join(categories.select(F.col("category_code").alias("rbi_category"),
+                                                "category_name", "is_regulatory", "severity"),
                   "rbi_category", "left"))
 
 
 def vw_daily_sentiment(daily: DataFrame, dates: DataFrame, sources: DataFrame) -> DataFrame:
     days = dates.select("date_key", "full_date", "year", "month", "week", "day_name", "is_weekend")
     return (daily.join(days, "date_key", "left")
-            .join(F.broadcast(sources.select("source_key", "source_name", "source_type")), "source_key", "left"))
+            .join(sources.select("source_key", "source_name", "source_type"), "source_key", "left"))
 
 
 def unmatched_sources(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """Source labels that an inner join with the dimension would silently drop."""
-    return (facts.join(F.broadcast(sources), "source_key", "left_anti")
+    return (facts.join(sources, "source_key", "left_anti")
             .groupBy("source_key").agg(F.count(F.lit(1)).alias("mentions")))
 
 
 def public_source_count(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """Distinct sources that are not the internal employee channel."""
     kinds = sources.select(F.col("source_key").alias("source"), "source_type")
-    return (posts.join(F.broadcast(kinds), "source", "left")
+    return (posts.join(kinds, "source", "left")
             .filter(F.coalesce("source_type", F.lit("")) != "employee")
             .agg(F.count_distinct("source").alias("public_sources")))

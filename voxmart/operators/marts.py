@@ -37,7 +37,7 @@ def _most_common(rows: DataFrame, key: str, value: str) -> DataFrame:
 def channel(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """Roll-up by source type. Counts per (type, team) come first, so the modal team is picked
     from a handful of rows and the fact table is read once."""
-    typed = facts.join(F.broadcast(sources.select("source_key", "source_type")), "source_key")
+    typed = facts.join(sources.select("source_key", "source_type"), "source_key")
     per_team = typed.groupBy("source_type", "recommended_team").agg(
         _n().alias("n"), F.count_if(is_negative(F.col("sentiment"))).alias("neg"),
         F.sum("score").alias("s"), F.count("score").alias("ns"), _complaints().alias("c"),
@@ -606,9 +606,8 @@ def weekly_digest(kpi: DataFrame, sov: DataFrame, clusters: DataFrame) -> DataFr
         F.col("share_of_voice").cast("string"), F.col("avg_score").cast("string")).alias("line"))
     issues = clusters.select(F.lit("issues").alias("section"), F.col("title").alias("key"),
                              F.col("size").alias("n"), F.format_string(
-        "%s: %d mentions (owner %s)", "title", "size", "top_team").alias("line"))
-    ranked = voice.unionByName(issues).withColumn("rank", F.row_number().over(by_volume)).filter(
-        (F.col("section") != "issues") | (F.col("rank") <= 5))
+        "%s: %d mentions (owner %s)", "title", "size", "top_team").alias("line")).orderBy(F.desc("n"), "key").limit(5)
+    ranked = voice.unionByName(issues).withColumn("rank", F.row_number().over(by_volume))  # brands, and five issues
     return top.unionByName(ranked.select("section", "rank", "line"))
 
 

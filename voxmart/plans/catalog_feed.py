@@ -219,10 +219,13 @@ def _(spark, sf):
     return ids(feed.recent_fraud(base(spark, sf)))
 
 
-@query("negative_themes", M + f""", {CLUSTERS} SELECT cluster_id, size, avg_score FROM clusters WHERE avg_score < -0.05 AND size >= 3
-  ORDER BY size DESC, cluster_id LIMIT 12""")
+@query("negative_themes", M + """, clusters AS (SELECT author AS cluster_id, count(*) AS size, round(avg(score), 3) AS avg_score FROM mentions GROUP BY author)
+ SELECT cluster_id, size, avg_score FROM clusters WHERE avg_score < -0.05 AND size >= 3 ORDER BY size DESC, cluster_id LIMIT 12""")
 def _(spark, sf):
-    return feed.negative_themes(clusters(spark, sf)).select("cluster_id", "size", "avg_score")
+    """The posts of an author stand for a cluster: among them some are negative on the whole."""
+    by_author = base(spark, sf).groupBy(F.col("author").alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("size"), F.round(F.avg("score"), 3).alias("avg_score"))
+    return feed.negative_themes(by_author).select("cluster_id", "size", "avg_score")
 
 
 @query("worst_cities", M + f""", {GEO_BASE} SELECT city, pct_negative FROM (SELECT city, count(*) AS mentions, {PCT} AS pct_negative

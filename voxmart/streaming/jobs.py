@@ -5,12 +5,13 @@ the caller chooses trigger and checkpoint."""
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from voxmart.config import THRESHOLDS
 from voxmart.functions import pii, text
@@ -70,10 +71,27 @@ def split_undated(posts: DataFrame, dated_path: str, undated_path: str, checkpoi
     return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def late_rows(query) -> int:
-    """Rows the watermark has dropped so far, as the query's own progress reports them."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
-               for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that watermarks have dropped, over the whole life of each query.
+
+    Register it with ``spark.streams.addListener`` before the queries start; a query's own progress list keeps the last hundred
+    reports only.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.dropped[str(event.progress.id)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 # ---------------------------------------------------------------- windows
@@ -143,10 +161,14 @@ def engagement_lifecycle(snapshots: DataFrame, passes: int = THRESHOLDS.refresh_
                          idle_ms: int = 24 * 3600 * 1000, delay: str = "1 day") -> DataFrame:
     """Numbered passes per post with the change since the last one; after ``passes`` a post retires.
 
-    Needs (source_id, captured_at, likes). State per post is two numbers; of a batch only the
-    earliest snapshots that can still count are held, so a hot post stays bounded. State times
-    out by event time: a processing-time timer would keep a run-to-completion trigger alive.
+    Needs (source_id, captured_at, likes) and, where it is known, first_seen. State per post is two numbers; of a batch only
+    the earliest snapshots that can still count are held, so a hot post stays bounded. The count never starts again: snapshots
+    later than ``idle_ms`` after first_seen do not count, and only when the watermark has passed that time is the state
+    dropped. Without first_seen it is kept.
     """
+    known = "first_seen" in snapshots.columns
+    names = ["source_id", "captured_at", "likes", *(["first_seen"] if known else [])]
+
     def step(key, frames: Iterator, state):
         import pandas as pd
 
@@ -166,13 +188,16 @@ def engagement_lifecycle(snapshots: DataFrame, passes: int = THRESHOLDS.refresh_
             last = int(likes)
         if rows:
             state.update((done, last))
-            seen = int(held["captured_at"].iloc[-1].timestamp() * 1000)
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+            if known:
+                end = int(held["first_seen"].min().timestamp() * 1000) + idle_ms
+                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs()) + 1)
             out = pd.DataFrame(rows, columns=["source_id", "iteration", "captured_at", "likes", "likes_delta", "retired"])
             out["likes_delta"] = out["likes_delta"].astype("Int64")
             yield out
 
-    rows = snapshots.select("source_id", "captured_at", "likes").withWatermark("captured_at", delay)
+    rows = snapshots.select(*names).withWatermark("captured_at", delay)
+    if known:
+        rows = rows.filter(F.unix_millis("captured_at") <= F.unix_millis("first_seen") + idle_ms)
     return rows.groupBy("source_id").applyInPandasWithState(step, HISTORY, STATE, "append", "EventTimeTimeout")
 
 
