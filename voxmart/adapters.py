@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmart.session import spread
+
 _NEG = "event_id % 9 < 4"
 _FRAUD = f"{_NEG} AND event_type = 'error' AND event_id % 5 = 0"
 _TW = "event_id % 5 = 0"
@@ -134,7 +136,7 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _adapt(table(spark, sf_dir, "documents"), POSTS + [("doc_id", "doc_id")])
+    rows = _adapt(spread(table(spark, sf_dir, "documents")), POSTS + [("doc_id", "doc_id")])
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
     return rows.withColumn("created_date", day).withColumn("created_at", F.col("created_date").cast("timestamp"))
 

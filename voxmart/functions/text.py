@@ -43,8 +43,10 @@ def contains_any(text: Column, needles) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank and trim."""
-    # Single blanks stay as they are: only other white space and longer runs are matched.
-    return F.trim(F.regexp_replace(text, f"(?:(?! )[{BLANK}][{BLANK}]*| [{BLANK}]+)", " "))
+    # Line feeds are the usual white space besides blanks, and a literal replacement is cheap; the pattern is for what is left.
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    rest = "  |[" + BLANK.replace("\\x1c- ", "\\x1c-\\x1f") + "]"
+    return F.trim(F.when(lines.rlike(rest), F.regexp_replace(lines, f"[{BLANK}]+", " ")).otherwise(lines))
 
 
 def strip_edges(text: Column) -> Column:

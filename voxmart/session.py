@@ -28,6 +28,13 @@ def build_session(app: str = "voxmart", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt to all cores. A file with one row group is read by one task, which would then do all the work
+    on its rows; a scan with as many partitions as cores stays as it is, so nothing large is moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, as the cluster names it.
 
