@@ -70,3 +70,10 @@ def test_odd_rows(spark, odd, nothing):
     assert quality.judge(nothing, net).collect() == [] and quality.keep_good(nothing, labels).collect() == []
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_filter_follows_the_decision(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in quality.op8(spark, sf).collect() if r.predicted == 1}
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == good and len(good) < 1000

@@ -30,7 +30,7 @@ PER_CLASS = 1000       # labelled texts in training, of each label
 WINDOWS = 4            # chunks of a text in training
 EPOCHS = 16
 GOOD = 0.7             # predicted is 1 from here on
-KEEP = 0.2             # the filter drops texts only below this: clean texts of a few words score lower than long ones
+KEEP = GOOD            # the filter follows the classifier's decision
 BLOCK = 1 << 16        # bytes convolved at once
 OUT = ("score", "predicted")
 
@@ -179,7 +179,7 @@ def judge(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is KEEP or more, learned from the labels that are not held out."""
+    """The rows of ``docs`` that the classifier takes for good (score KEEP or more), learned from the labels that are not held out."""
     net = learn(docs, labels.filter(F.coalesce(~held_out(), F.lit(False))))
     names = docs.columns
     judged = judge(docs.select(F.struct(*names).alias("r"), F.col("text").alias("t")), net, "t")
