@@ -56,7 +56,7 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     out, at = np.empty(len(begin), U64), 0
     while at < len(begin):
         lo = int(begin[at])
@@ -76,7 +76,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(data):
         return np.empty(0, U64), np.zeros(len(bounds), np.int64), np.empty(0, np.int64)
     begin, end = word_spans(data, bounds)
-    return _hash_spans(data, begin, end), np.searchsorted(begin, bounds), begin
+    return hash_spans(data, begin, end), np.searchsorted(begin, bounds), begin
 
 
 def shingles(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
