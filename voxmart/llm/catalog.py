@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("fingerprints", "sharding", "packing", "token_files", "decontamination", "language_model", "preferences", "quality", "simhash",
-           "language_id", "phrases", "alignment")
+           "language_id", "phrases", "credentials", "alignment")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
