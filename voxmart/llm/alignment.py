@@ -43,7 +43,7 @@ SHORT = 48        # characters of a piece worth keeping
 BYTES = 1 << 20   # of text worked on at once; only a single longer text makes it more
 WIDE = 1 << 16    # links of one group from which on its ids are counted first
 
-_LOOSE = re.compile(r"\s \s|^ | $|  ")
+_LOOSE = re.compile(r" \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _open: dict[tuple[str, str], "Pair"] = {}
 
@@ -80,30 +80,37 @@ class Pair:
         self.a_size, self.b_size = (np.array([len(x) for x in s], np.int64) for s in (self.a_bytes, self.b_bytes))
         self.digits, self.width = digits(max(len(self.a_bytes), len(self.b_bytes)))
 
-    def _new(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of pieces as bytes of 32-bit numbers; None where the tokens do not spell a space and the piece."""
-        out = {}
-        first = self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        for p, e, second in zip(pieces, first, self.b.encode(pieces, num_threads=1)):
-            spelled, a = b" " + p.encode(), e.ids
-            whole = b"".join(map(self.a_bytes.__getitem__, a)) == spelled == b"".join(map(self.b_bytes.__getitem__, second))
-            out[p] = (np.array(a, "<u4").tobytes(), np.array(second, "<u4").tobytes()) if whole else None
-        return out
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of A and of B, both empty where the text has no tokens."""
-        if not text:
-            return b"", b""
-        pieces = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        got = list(map(self.kept.get, pieces))
-        if None in got:
-            new = self._new(list(dict.fromkeys(p for p, g in zip(pieces, got) if g is None)))
-            if len(self.kept) < self.size:
-                self.kept.update((p, g) for p, g in new.items() if g is not None and len(p) <= SHORT)
-            got = [new[p] if g is None else g for p, g in zip(pieces, got)]
-            if None in got:
-                return b"", b""
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+    def _new(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of pieces as bytes of 32-bit numbers, none where the tokens do not spell a space and the piece."""
+        spelled = [b" " + p.encode() for p in pieces]
+        size = np.array(list(map(len, spelled)), np.int64)
+        whole, found = np.ones(len(pieces), bool), []
+        first = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        for ids, entry, width in ((first, self.a_bytes, self.a_size), (self.b.encode(pieces, num_threads=1), self.b_bytes, self.b_size)):
+            n = np.array(list(map(len, ids)), np.int64)
+            flat = np.array([i for one in ids for i in one], np.int64)
+            whole &= _sums(width[flat], n) == size
+            if b"".join(map(entry.__getitem__, flat.tolist())) != b"".join(spelled):
+                whole &= np.array([b"".join(map(entry.__getitem__, one)) == x for one, x in zip(ids, spelled)], bool)
+            raw, at = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
+            found.append([raw[lo:hi] for lo, hi in zip(at, at[1:])])
+        return {p: (x, y) if ok else (b"", b"") for p, x, y, ok in zip(pieces, *found, whole.tolist())}
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of A and of B of each text, both empty where it has no tokens. What is not kept is encoded at once for all texts."""
+        cut = [() if not t else _CUT.split(t) if t[0] == " " or t[-1] == " " or _LOOSE.search(t) else t.split(" ") for t in texts]
+        kept = self.kept
+        got = [list(map(kept.get, pieces)) for pieces in cut]
+        new = dict.fromkeys(p for pieces, mine in zip(cut, got) if None in mine for p, g in zip(pieces, mine) if g is None)
+        if new:
+            new = self._new(list(new))
+            got = [[new[p] if g is None else g for p, g in zip(pieces, mine)] if None in mine else mine for pieces, mine in zip(cut, got)]
+            if len(kept) < self.size:
+                kept.update((p, g) for p, g in new.items() if len(p) <= SHORT)
+        nothing = b"", b""
+        parted = [zip(*mine) if mine and nothing not in mine else ((), ()) for mine in got]
+        joined = [(b"".join(x), b"".join(y)) for x, y in parted]
+        return [x for x, _ in joined], [y for _, y in joined]
 
 
 def pair(first: str, second: str) -> Pair:
@@ -153,27 +160,20 @@ class Aligned:
         """(text, a * entries of B + b, number of links) of the distinct pairs of each text, in order."""
         a0, b0 = (np.cumsum(s) - s for s in (self.size_a, self.size_b))
         many, wide = self.size_a * self.size_b, len(self.made.b_bytes)
-        text, code, times = [], [], []
-        for g in np.flatnonzero(many > WIDE).tolist():
-            (x, nx), (y, ny) = (np.unique(ids[at: at + n], return_counts=True) for ids, at, n in
-                                ((self.a, a0[g], self.size_a[g]), (self.b, b0[g], self.size_b[g])))
-            code.append((x.astype(np.int64)[:, None] * wide + y).ravel())
-            times.append((nx[:, None] * ny).ravel())
-            text.append(np.full(len(code[-1]), self.doc[g]))
+        span = len(self.made.a_bytes) * wide
         small = np.flatnonzero(many <= WIDE)
         count = many[small]
         g = np.repeat(small, count)
         k = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
-        code.append(self.a[a0[g] + k // self.size_b[g]].astype(np.int64) * wide + self.b[b0[g] + k % self.size_b[g]])
-        times.append(np.ones(len(g), np.int64))
-        text.append(self.doc[g])
-        text, code, times = map(np.concatenate, (text, code, times))
-        order = np.lexsort((code, text))
-        text, code, times = text[order], code[order], times[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
-        at = np.flatnonzero(new)
-        return text[at], code[at], np.add.reduceat(times, at) if len(at) else times
+        code, times = np.unique(self.doc[g] * span + self.a[a0[g] + k // self.size_b[g]].astype(np.int64) * wide
+                                + self.b[b0[g] + k % self.size_b[g]], return_counts=True)
+        for g in np.flatnonzero(many > WIDE).tolist():
+            (x, nx), (y, ny) = (np.unique(ids[at: at + n], return_counts=True) for ids, at, n in
+                                ((self.a, a0[g], self.size_a[g]), (self.b, b0[g], self.size_b[g])))
+            more = (self.doc[g] * span + x.astype(np.int64)[:, None] * wide + y).ravel()
+            code, at = np.unique(np.concatenate([code, more]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, (nx[:, None] * ny).ravel()])).astype(np.int64)
+        return code // span, code % span, times
 
     def digests(self) -> list[str]:
         """SHA-256 of the ids of each text as ``a1,a2|b1;a3|b2,b3``, '' for a text without tokens."""
@@ -211,12 +211,12 @@ def aligned(docs: DataFrame, first: str, second: str, key: str = "doc_id", text:
         made = pair(first, second)
         for batch in batches:
             for part in kernels.slices(batch, "t", BYTES):
-                ids = [made.encode(t) for t in part["t"].to_pylist()]
-                a, b = (np.frombuffer(b"".join([x[side] for x in ids]), "<u4") for side in (0, 1))
-                n_a, n_b = (np.array([len(x[side]) // 4 for x in ids], np.int64) for side in (0, 1))
+                ids = made.encode(part["t"].to_pylist())
+                a, b = (np.frombuffer(b"".join(side), "<u4") for side in ids)
+                n_a, n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in ids)
                 found = Aligned(made, a, b, n_a, n_b)
                 doc, code, times = found.pairs()
-                at = pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)), pa.int32())
+                at = pa.array(np.searchsorted(doc, np.arange(len(n_a) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part["row"], part["doc_id"], *map(pa.array, (n_a, n_b, found.groups, found.links())), pa.array(found.digests(), pa.string()),
                      pa.ListArray.from_arrays(at, pa.array(code)), pa.ListArray.from_arrays(at, pa.array(times))],
