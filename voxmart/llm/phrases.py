@@ -9,8 +9,8 @@ up to LONGEST words in a row within a piece; f counts all its occurrences, overl
    frequent in some shard, as they must be. Mining counts 62-bit hashes: two phrases of one hash can only add a candidate.
 2. Union. The hashes of a level's locally frequent phrases become one table of bits, at most 2 ** MOST_BITS of them however
    many phrases there are. A full table prunes less; it loses nothing.
-3. Count. One more pass counts the words and all candidates by their spelling, never by a hash. What has ``support``
-   occurrences is in the union, so the count is whole.
+3. Count. One more pass counts all candidates, words included, by their spelling, never by a hash. What has ``support``
+   occurrences is in the union, so the count is whole; so are its parts, which occur no less often.
 
 The score of a phrase is that of its weakest cut in two: floor(1000000 * a * a / (l * r)), in decimals.
 
@@ -155,7 +155,7 @@ def _bit_table(found: DataFrame) -> np.ndarray:
 
 
 def _counted(rows: DataFrame, tables: dict, longest: int) -> DataFrame:
-    """(lang, w, phrase, c): words and candidates of each block with their occurrences; w = 0 counts all words."""
+    """(lang, w, phrase, c): candidates of each block with their occurrences; w = 0 counts all words."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "t", BYTES):
@@ -167,8 +167,7 @@ def _counted(rows: DataFrame, tables: dict, longest: int) -> DataFrame:
                 yield _rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), n)
                 for m in range(1, longest + 1):
                     at = parsed.starts(m)
-                    if m > 1:
-                        at = at[_in_table(tables[m].value, parsed.hashes(at, m, salt))]
+                    at = at[_in_table(tables[m].value, parsed.hashes(at, m, salt))]
                     code = lang[parsed.doc[at]]
                     for k in range(m):  # numbers of the distinct phrases, exact at every step
                         code = code * size + parsed.word[at + k]
@@ -193,7 +192,7 @@ def counts(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang: st
     rows = docs.select(t.alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        F.pmod(F.xxhash64(t), F.lit(SHARDS)).alias("shard"))
     tables: dict = {}
-    for m in range(2, longest + 1):
+    for m in range(1, longest + 1):
         frequent = _mined(rows, m, dict(tables)).groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") * SHARDS >= support)
         found = cut_lineage(frequent.select(F.shiftright("key", 2).alias("h")).distinct(), f"phrases-{m}")
         tables[m] = docs.sparkSession.sparkContext.broadcast(_bit_table(found))
