@@ -34,6 +34,7 @@ EVIDENCE = 64           # trigrams that count as independent evidence, at most
 MARGIN = 0.5            # ambiguous: a loss this close to the smallest one
 LETTERS = 3             # ambiguous: fewer trigrams with a letter
 BLOCK = 1 << 18         # trigrams looked up at once
+BYTES = 2 << 20         # of text in one piece of work; only a single longer text makes it more
 UNKNOWN = "und"
 OUT = ("lang_pred", "score", "ambiguous")
 
@@ -68,7 +69,7 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, counts binary: SIZE int64): one row per language and task that saw it."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole, "t", BYTES)):
             data, bounds = kernels.text_bytes(batch["t"])
             names = batch["l"].to_pylist()
             for lo, hi in blocks(bounds):
@@ -157,6 +158,15 @@ class Model:
         return total / np.maximum(size, 1)[:, None], size
 
 
+def with_letters(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which texts have a letter; only those without one of A-Z are decoded."""
+    plain = np.concatenate([[0], np.cumsum((_FOLD[data] > 96) & (data < 128), dtype=np.int64)])[bounds]
+    found = plain[1:] > plain[:-1]
+    for i in np.flatnonzero(~found & (np.diff(bounds) > 0)).tolist():
+        found[i] = any(map(str.isalpha, data[bounds[i]: bounds[i + 1]].tobytes().decode()))
+    return found
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of all rows with a text and a language. The driver gets one count table per language."""
     rows = _sum_counts(trigram_counts(docs, text, lang)).collect()
@@ -168,12 +178,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in OUT]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["identified"]
-            letters = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool)
+        for batch in (part for whole in batches for part in kernels.slices(whole, "identified", BYTES)):
+            data, bounds = kernels.text_bytes(batch["identified"])
+            letters = with_letters(data, bounds)
             pred, score, unsure = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.ones(len(letters), bool)
             if model.langs and len(letters):
-                margin, size = model.margins(*kernels.text_bytes(texts))
+                margin, size = model.margins(data, bounds)
                 best, p, lead = model.decode(margin, size)
                 pred[letters] = np.array(model.langs, object)[best[letters]]
                 score[letters] = p[letters]
@@ -186,12 +196,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows that are not learned from; those without a doc_id are none to learn from either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is told without ambiguity, learned from those of ``docs`` that are not held out."""
-    model = learn(docs.filter(F.coalesce(~held_out(), F.lit(False))).select("text", "lang"))
+    model = learn(docs.filter(~held_out()).select("text", "lang"))
     names = docs.columns
     judged = identify(docs.select(F.struct(*names).alias("r"), F.col("text").alias("t")), model, "t")
     return judged.filter(~F.col("ambiguous")).select("r.*")
@@ -200,6 +211,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs.filter(F.coalesce(~held_out(), F.lit(False))))
+    model = learn(docs.filter(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model) \
         .select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
