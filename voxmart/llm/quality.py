@@ -36,7 +36,8 @@ OUT = ("score", "predicted")
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Rows that are not learned from; those without a doc_id are none to learn from either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 class Network:
@@ -180,7 +181,7 @@ def judge(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier takes for good (score KEEP or more), learned from the labels that are not held out."""
-    net = learn(docs, labels.filter(F.coalesce(~held_out(), F.lit(False))))
+    net = learn(docs, labels.filter(~held_out()))
     names = docs.columns
     judged = judge(docs.select(F.struct(*names).alias("r"), F.col("text").alias("t")), net, "t")
     return judged.filter(F.col("score") >= KEEP).select("r.*")
@@ -189,5 +190,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    net = learn(docs, labels.filter(F.coalesce(~held_out(), F.lit(False))))
+    net = learn(docs, labels.filter(~held_out()))
     return judge(docs.select("doc_id", held_out().alias("held_out"), "text"), net).select("doc_id", "held_out", *OUT)
