@@ -37,7 +37,7 @@ END = 2
 NODES = 400       # of the enumeration of one filling
 STEPS = 6_000     # of the whole search
 WIDTH = 4         # fillings of a sequence that are tried
-GROUP = 200_000   # pieces of one length that are numbered in one group, about
+GROUP = 1_000     # pieces of one length that are numbered in one group, about
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in a sequence, how many such sequences
 
@@ -231,8 +231,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}
     where, _ = places(complete(counts, capacity))
     names = items.columns
-    salts = math.ceil(sum(counts.values()) / group) or 1
-    salted = items.withColumn("salt_", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)))
+    salts = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, math.ceil(n / group))]) if counts else F.lit(None)
+    salted = items.withColumn("salt_", F.pmod(F.xxhash64(*[F.col(c) for c in order]), salts[F.col("length")] if counts else F.lit(1)))
     before = salted.groupBy("length", "salt_").agg(F.count(F.lit(1)).alias("n_")).withColumn(
         "before_", F.coalesce(F.sum("n_").over(Window.partitionBy("length").orderBy("salt_").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
