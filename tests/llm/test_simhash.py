@@ -77,7 +77,7 @@ def test_odd_rows(spark, odd, nothing):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == \
-        [(False, i) for i in (1, 2, 5, 7, 8, 9)] + [(True, None)]
+        [(False, i) for i in (1, 2, 5, 7, 8, 9)] + [(True, None)]  # no class but its own
 
 
 def test_components(spark):
@@ -86,3 +86,12 @@ def test_components(spark):
     df = spark.createDataFrame(path, "a int, b int").withColumn("c", F.lit(1))
     got = {r.id: r.component for r in components.connected(df).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, **{1000 + i: 1000 for i in range(50)}, 2000: 2000, 2001: 2000}
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows are told apart by doc_id and text; a doc_id with two texts, copies without a doc_id and repeated rows included."""
+    rows = [(3, "text b", 1), (5, "text a", 1), (5, "text b", 1), (None, "text a", 9), (None, "text c", 2), (None, "text c", 1),
+            (7, "text d", 4), (7, "text d", 2), (8, "text d", 0), (9, None, 0), (2, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, simhash int")
+    got = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(3, "text b", 1), (5, "text a", 1), (None, "text c", 1), (7, "text d", 2), (2, "", 1)], key=repr)

@@ -35,6 +35,7 @@ WORDS = 3
 BITS = 2      # fingerprints link at so many differing bits or fewer; the blocks below are made for two
 HOT = 4096
 SEED = 42
+BYTES = 2 << 20  # of text in one piece of work; only a single longer text makes it more
 UNNAMED = 1 << 62  # doc_ids are below
 PAIRS = list(combinations(range(4), 2))  # of blocks
 _LOWER = kernels.LOWER.tobytes()
@@ -61,9 +62,10 @@ def with_simhash(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     names = [c for c in (docs.columns if keep is None else keep) if c != "simhash"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([simhash((t or "").encode(), n) for t in batch["shingled"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found)], names=[*names, "simhash"])
+        for whole in batches:
+            for batch in kernels.slices(whole, "shingled", BYTES):
+                found = np.array([simhash((t or "").encode(), n) for t in batch["shingled"].to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(found)], names=[*names, "simhash"])
 
     schema = docs.select(*names).schema.add("simhash", "long")
     return docs.select(*names, F.col(text).alias("shingled")).mapInArrow(work, schema)
@@ -97,37 +99,50 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.unionByName(stars.distinct())
 
 
-def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """(simhash, component_id) of distinct (simhash, doc_id) rows, doc_id being the smallest with that fingerprint."""
+def numbered(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """(simhash, c) of distinct (simhash, doc_id) rows, doc_id being the smallest with that fingerprint; c names the class: its
+    smallest doc_id, or a number of UNNAMED or more where it has none."""
     found = links(prints, hot)
     # A fingerprint without a doc_id goes by a number above all of them. Its two lowest bits may be cut: fingerprints that
     # differ in these only are linked anyway.
     own = prints.select("simhash", F.coalesce("doc_id", UNNAMED + F.shiftrightunsigned("simhash", 2)).alias("id"))
     left, right = own.toDF("a", "from"), own.toDF("b", "to")
     parts = connected(found.join(left, "a").join(right, "b"), "from", "to")
-    out = own.join(parts, "id", "left").select("simhash", F.coalesce("component", "id").alias("c"))
-    return out.select("simhash", F.when(F.col("c") < UNNAMED, F.col("c")).alias("component_id"))
+    return own.join(parts, "id", "left").select("simhash", F.coalesce("component", "id").alias("c"))
+
+
+def classes(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """(simhash, component_id) of distinct (simhash, doc_id) rows; null where a class has no doc_id."""
+    return numbered(prints, hot).select("simhash", F.when(F.col("c") < UNNAMED, F.col("c")).alias("component_id"))
+
+
+def _least_ids(rows: DataFrame) -> DataFrame:
+    return cut_lineage(rows.groupBy("simhash").agg(F.min("doc_id").alias("doc_id")), "prints")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, simhash bigint, component_id (smallest doc_id that can be reached)."""
     rows = cut_lineage(with_simhash(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), "t", ["doc_id"]), "simhash")
-    prints = cut_lineage(rows.groupBy("simhash").agg(F.min("doc_id").alias("doc_id")), "prints")
-    return rows.join(cut_lineage(classes(prints, hot), "classes"), "simhash")
+    return rows.join(cut_lineage(classes(_least_ids(rows), hot), "classes"), "simhash")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their class: of each class the row with the smallest doc_id stays.
+def drop_near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: of each class exactly one of its own rows stays.
 
-    Of rows that repeat this doc_id, the one with the smallest text (then other columns) stays. Rows without a doc_id cannot
-    name a class or be told apart; all of them stay.
+    It is the one with the smallest doc_id (rows without one come last), of rows that share it the one with the smallest SHA-256
+    of its text, of repeats of that the one with the smallest other columns. Only fingerprints, doc_ids and digests are
+    grouped; texts move once, to meet what stays.
     """
-    stay = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
     names = docs.columns
-    rest = F.struct("text", *[c for c in names if c not in ("doc_id", "text")])
-    one = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id").groupBy("doc_id").agg(F.min(rest).alias("r")) \
-        .select(*["doc_id" if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in names])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    tag = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    own = F.coalesce("doc_id", F.lit(UNNAMED))
+    rows = cut_lineage(with_simhash(docs.select(own.alias("doc_id"), tag.alias("tag"), F.col("text").alias("t")), "t", ["doc_id", "tag"]), "simhash")
+    prints = _least_ids(rows.withColumn("doc_id", F.nullif("doc_id", F.lit(UNNAMED))))
+    parts = cut_lineage(numbered(prints, hot), "classes")
+    stay = rows.groupBy("simhash").agg(F.min(F.struct("doc_id", "tag")).alias("s")).join(parts, "simhash") \
+        .groupBy("c").agg(F.min("s").alias("s")).select("s.*")
+    rest = docs.select(own.alias("doc_id"), tag.alias("tag"), F.struct(*names).alias("r")).join(stay, ["doc_id", "tag"])
+    return rest.groupBy("doc_id", "tag").agg(F.min("r").alias("r")).select("r.*")
 
 
 @query("op9_simhash")
