@@ -5,7 +5,7 @@ and read again for the next. All but the last return rows of ``documents`` with
 
 1. language_id    documents whose language cannot be told, or is told with little lead, go
 2. quality        documents that the network takes for low quality go
-3. near_dedup     of documents that share 80 % of their five-word shingles the one with the smallest doc_id stays
+3. near_dedup     of documents whose 64-bit fingerprints of three-word shingles are linked at two bits or fewer one stays
 4. decontaminate  documents that cover a benchmark item go
 5. pack           the pieces of what is left, with their places in sequences of 1,024 tokens
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmart.llm import decontamination, language_id, near_copies, packing, quality, tokens
+from voxmart.llm import decontamination, language_id, packing, quality, simhash, tokens
 from voxmart.llm.catalog import table
 from voxmart.session import cut_lineage
 
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
