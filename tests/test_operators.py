@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmart.config import Brand
-from voxmart.operators import churn, facts, feed, issues, marts, quality, scd2, scoring, series, worklists
+from voxmart.operators import churn, facts, feed, issues, marts, quality, scd2, scoring, series, terms, worklists
 from voxmart.schemas import align, empty
 from voxmart.sources import imports, mappers, pages, store
 from voxmart.streaming import jobs
@@ -188,11 +188,72 @@ def test_average_linkage_equals_brute_force(spark, component):
     assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, x, 0.35)
 
 
+def dense_tfidf(texts):
+    import re
+
+    words = [[w for w in re.findall(r"\w\w+", (t or "").lower()) if w not in terms.STOP] for t in texts]
+    names = sorted({w for ws in words for w in ws})
+    tf = np.array([[ws.count(n) for n in names] for ws in words], float).reshape(len(texts), -1)
+    x = tf * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def sparse_case(seed, n=60):
+    """Short texts of few words, with copies, edited copies, stop words only and nothing at all."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i:02d}" for i in range(30)] + ["the", "and", "Über"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 9), p=np.array([1 / (k + 3) for k in range(33)]) / sum(1 / (k + 3) for k in range(33))))
+             for _ in range(n)]
+    texts[5], texts[6], texts[7], texts[8], texts[9] = texts[4], texts[4] + " w29", None, "", "the and"
+    return [f"p{i:02d}" for i in range(n)], texts
+
+
+@pytest.mark.parametrize("component,limit", [(0, 3), (8, 64), (2048, 64), (2048, 1)])
+def test_sparse_average_linkage_equals_brute_force(spark, component, limit):
+    ids, texts = sparse_case(component + limit)
+    df = spark.createDataFrame(list(zip(ids, texts)), "source_id string, text string").repartition(3)
+    got = issues.cluster(terms.term_vectors(df), distance=0.35, chunk=16, component=component, limit=limit).toPandas()
+    x = dense_tfidf(texts)
+    none = ~x.any(1)
+    wide = np.hstack([x, np.eye(len(ids))[:, none]])  # texts without terms: an axis of their own
+    assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, wide, 0.35)
+
+
+@pytest.mark.parametrize("limit", [1, 4, 64])
+def test_sparse_neighbours_are_all_found(spark, limit):
+    ids, texts = sparse_case(5, 90)
+    v = terms.term_vectors(spark.createDataFrame(list(zip(ids, texts)), "cid string, text string"), key="cid").withColumn("size", F.lit(1).cast("long"))
+    v = terms.cut_lineage(v.select("cid", "size", "ids", "mean"), "case")
+    some = v.filter("cid < 'p40'")
+    dots = np.round(dense_tfidf(texts) @ dense_tfidf(texts).T, 9)
+    np.fill_diagonal(dots, 0)
+    want = {i: (ids[int(dots[k].argmax())], dots[k].max()) for k, i in enumerate(ids[:40]) if dots[k].max() > 0.3}
+    got = issues.nearest_neighbours(v, some, 0.3, chunk=8, edge=terms.frequent_from(v, limit)).collect()
+    assert {r.cid: round(r["dot"], 9) for r in got} == {k: x for k, (_, x) in want.items()} and len(want) > 20
+    assert all(dots[ids.index(r.cid), ids.index(r.nn)] == round(r["dot"], 9) for r in got)
+
+
+def test_cells_are_split_until_they_fit(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(scale=0.05, size=(200, 4)) + c for c in (np.eye(4)[0], np.eye(4)[1])])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i}", 1, v.tolist()) for i, v in enumerate(x)], "cid string, size bigint, mean array<double>")
+    placed, stats = issues._cells(df, 12, 4, 400)
+    assert max(n for _, n, _ in stats.values()) <= 12 and sum(n for _, n, _ in stats.values()) == 400
+    rows = placed.collect()
+    assert all(abs(np.linalg.norm(np.array(r["mean"]) - stats[r["cell"]][0]) - r["gap"]) < 1e-6 for r in rows)
+    dots = np.round(x @ x.T, 12)
+    np.fill_diagonal(dots, -1)
+    got = {r.cid: r["dot"] for r in issues.nearest_neighbours(df, df, 0.9, chunk=12, pivots=4).collect()}
+    assert {f"v{i}": m for i, m in enumerate(dots.max(1)) if m > 0.9}.keys() == got.keys()
+    assert all(abs(got[f"v{i}"] - dots[i].max()) < 1e-9 for i in range(400) if f"v{i}" in got)
+
+
 def test_issues_from_text(spark):
     said = ["upi payment failed today", "upi payment failed again", "payment failed upi", "lovely branch staff", "lovely staff branch"]
     rows = spark.createDataFrame([(str(i), t, D(2026, 7, 1), -0.5, "", t, "cards") for i, t in enumerate(said)],
                                  "source_id string, text string, created_at timestamp, score double, theme string, summary string, recommended_team string")
-    found = issues.number_clusters(issues.cluster(issues.tfidf_vectors(rows), distance=0.6))
+    found = issues.number_clusters(issues.cluster(terms.term_vectors(rows), distance=0.6))
     top = issues.ranked(issues.profile(rows.join(found, "source_id")))
     r = top.first()
     assert (r["cluster_id"], r["size"], r["emerging"], r["title"]) == (0, 3, True, said[0])
