@@ -328,6 +328,43 @@ def test_csv_files_with_headers_of_their_own(spark, tmp_path):
     assert [r["file"].rsplit("/", 1)[1] for r in imports.unread_files(spark, str(folder)).collect()] == ["c.csv"]
 
 
+@pytest.fixture()
+def tiny_ranges(spark):
+    """Scans cut into ranges of a few bytes."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "90")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("longest", [1 << 20, 12])
+def test_csv_in_ranges_reads_what_a_reader_of_whole_files_does(spark, tmp_path, tiny_ranges, longest):
+    """Quotes in all places, line breaks of all kinds in and out of quotes, comments longer than a range, an unclosed quote."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(longest)
+    cells = ["a", "", "5\" wide", '"x, y"', '"two\nlines"', '"say ""hi"""', '""', '"a\r\nb"', '"\n"', "# no note", ' "b"', '"c"d"', "ü🙂", '"' + "long text\n" * 12 + '"']
+    want = []
+    for f in range(12):
+        names = rng.sample(["id", "text", "likes", "Date"], 3)
+        body = "".join(",".join(rng.choice(cells[: 99 if f % 4 == 2 else -1]) for _ in range(rng.randrange(1, 5))) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(30))
+        if f % 4 == 3:
+            body += 'x,"never closed\nto the end,'
+        table = ",".join(names) + "\n" + body
+        (tmp_path / f"f{f}.csv").write_text("\ufeff" * (f % 2) + '# a "note\n\n' * (12 * (f % 3)) + table, newline="", encoding="utf-8")
+        rows = [r for r in csv.reader(io.StringIO(body, newline="")) if r]
+        want += [tuple(dict(zip(names, r)).get(n) for n in ("Date", "id", "likes", "text")) for r in rows]
+    got = imports.read_csv(spark, str(tmp_path), longest)
+    assert got.columns == ["Date", "id", "likes", "text"] and got.rdd.getNumPartitions() > 50
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    kinds = {r["kind"] for r in imports.csv_plan(spark, str(tmp_path), longest)[0].collect()}
+    assert kinds >= ({"skip", "first", "header", "inside", "record", "whole"} if longest > 12 else {"whole"})
+
+
 def test_card_parser(spark):
     html = ("<div class='complaint-box-results'><a class='complaint-box-results__title' href='/x-c12'>Acme <b>bad</b></a><div>"
             "<span class='complaint-box-results__text'>It was&nbsp;slow <br>very</span></div></div><p>acme outside</p>"
