@@ -11,7 +11,6 @@ from voxmart.config import Brand
 from voxmart.operators import churn, facts, feed, issues, marts, quality, scd2, scoring, series, terms, worklists
 from voxmart.schemas import align, empty
 from voxmart.sources import imports, mappers, pages, store
-from voxmart.streaming import jobs
 
 D = dt.datetime
 
@@ -163,6 +162,10 @@ def test_scorer_batches_survive_a_failure(spark):
     posts = spark.createDataFrame([(str(i),) for i in range(10)], "source_id string").coalesce(1)
     got = scoring.score_batches(posts, scorer, schema, batch=2)
     assert sorted(r["source_id"] for r in got.collect()) == sorted(str(i) for i in range(10) if i not in (2, 3))
+    bad = scoring.score_or_refuse(posts, scorer, schema, batch=2).filter("error IS NOT NULL").collect()
+    assert sorted((r["source_id"], r["sentiment"], r["error"]) for r in bad) == [("2", None, "RuntimeError: down"), ("3", None, "RuntimeError: down")]
+    quiet = scoring.score_or_refuse(posts, lambda batch: scorer(batch[:1]), schema, batch=3).filter("error = 'left out of the answer'")
+    assert {r["source_id"] for r in quiet.collect()} == {"1", "2", "7", "8"}
 
 
 # ---------------------------------------------------------------- issues
@@ -379,40 +382,6 @@ def test_thread_gate_needs_share_and_count(spark):
     assert {r["t"]: r["count"] for r in kept.collect()} == {"a": 10, "b": 3, "c": 2}
 
 
-def test_late_rows_are_dropped_and_retired_posts_stay_silent(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    schema = "source_id string, captured_at timestamp, likes bigint"
-    for n, rows in enumerate(([("p", D(2026, 7, 1, h), h) for h in range(8)], [("p", D(2026, 7, 1, 8 + h), 50) for h in range(8)])):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        stream = jobs.landing(spark, src, spark.read.parquet(src).schema, "*.parquet")
-        q = jobs.append_to(jobs.engagement_lifecycle(stream), out, ck).trigger(availableNow=True).start()
-        assert q.awaitTermination(120), n
-    got = spark.read.parquet(out).orderBy("iteration").collect()
-    assert [r["iteration"] for r in got] == list(range(1, 13)) and got[-1]["retired"] and got[8]["likes_delta"] == 43
-
-
-def test_lifecycle_never_starts_again_and_late_rows_are_counted(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    schema = "source_id string, captured_at timestamp, likes bigint, first_seen timestamp"
-    first = D(2026, 7, 1)
-    batches = [[("p", D(2026, 7, 1, h), h, first) for h in range(4)], [("q", D(2026, 7, 6), 1, D(2026, 7, 6))],
-               [("q", D(2026, 7, 6, 1), 2, D(2026, 7, 6))], [("p", D(2026, 7, 6, 2), 99, first), ("p", D(2026, 7, 1, 5), 98, first)]]
-    late = jobs.LateRows()
-    spark.streams.addListener(late)
-    try:
-        for n, rows in enumerate(batches):
-            spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-            stream = jobs.landing(spark, src, spark.read.parquet(src).schema, "*.parquet")
-            q = jobs.append_to(jobs.engagement_lifecycle(stream), out, ck).trigger(availableNow=True).start()
-            assert q.awaitTermination(120), n
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-    finally:
-        spark.streams.removeListener(late)
-    got = sorted((r["source_id"], r["iteration"], r["likes"]) for r in spark.read.parquet(out).collect())
-    assert got == [("p", i + 1, i) for i in range(4)] + [("q", 1, 1), ("q", 2, 2)]
-    assert sum(late.dropped.values()) == 1
-
-
 def test_share_of_voice_sums_to_100(spark):
     own = spark.createDataFrame([("negative", 0.1)] * 3, "sentiment string, score double")
     other = spark.createDataFrame([("B", "positive", 0.5), ("C", "neutral", 0.0)], "brand string, sentiment string, score double")

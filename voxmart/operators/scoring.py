@@ -100,28 +100,37 @@ def split_by_depth(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     return analysis.filter(F.col("sentiment") == "positive"), analysis.filter(F.col("sentiment") != "positive")
 
 
-def score_batches(posts: DataFrame, scorer: Callable[[list[dict]], list[dict]], schema: T.StructType,
-                  batch: int = 12) -> DataFrame:
-    """Run an external scorer over masked posts, ``batch`` rows per call, inside the tasks.
+def score_or_refuse(posts: DataFrame, scorer: Callable[[list[dict]], list[dict]], schema: T.StructType, batch: int = 12) -> DataFrame:
+    """Run an external scorer over masked posts, ``batch`` rows per call, inside the tasks: rows of ``schema`` and ``error``.
 
-    A failing batch yields no rows, so its posts keep their baseline.
+    A batch that fails, and a post that an answer leaves out, give a row of the id and the error, all else null: nothing is lost
+    uncounted.
     """
-    names = schema.fieldNames()
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    out = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
+    columns = to_arrow_schema(out)
 
-        for frame in frames:
-            records = frame.to_dict("records")
-            for at in range(0, len(records), batch):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, len(whole), batch):
+                part = whole.slice(at, batch).to_pylist()
                 try:
-                    results = scorer(records[at:at + batch])
-                except Exception:  # an unreachable scorer must not lose the partition
-                    continue
-                if results:
-                    yield pd.DataFrame(results).reindex(columns=names)
+                    results, error = scorer(part) or [], "left out of the answer"
+                except Exception as e:  # an unreachable scorer must not lose the partition
+                    results, error = [], f"{type(e).__name__}: {e}"
+                told = {r.get("source_id") for r in results}
+                refused = [{"source_id": r["source_id"], "error": error} for r in part if r["source_id"] not in told]
+                yield pa.RecordBatch.from_pylist([*({**r, "error": None} for r in results), *refused], schema=columns)
+
+    return posts.mapInArrow(run, out)
+
 
-    return posts.mapInPandas(run, schema)
+def score_batches(posts: DataFrame, scorer: Callable[[list[dict]], list[dict]], schema: T.StructType, batch: int = 12) -> DataFrame:
+    """The scored rows of ``score_or_refuse``; posts that were refused keep their baseline."""
+    return score_or_refuse(posts, scorer, schema, batch).filter("error IS NULL").drop("error")
 
 
 def _enum(value: Column, name: str) -> Column:

@@ -4,18 +4,23 @@ the caller chooses trigger and checkpoint."""
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import timezone
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQueryListener
 
 from voxmart.config import THRESHOLDS
 from voxmart.functions import pii, text
 from voxmart.functions.labels import is_negative
+from voxmart.operators import scoring
+from voxmart.session import cut_lineage
 
 # What runs inside tasks travels with them, whether or not the workers have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,110 +117,200 @@ def conversation_sessions(posts: DataFrame, gap: str = "2 hours", delay: str = "
         "conversation_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "posts", "avg_score")
 
 
-def snapshot_sink(result: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the whole (aggregated) result as the newest of numbered snapshots."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root) if "batch=" in f.getPath().getName()]
-    return spark.read.parquet(f"{path}/batch={max(numbers)}")
+def closing_record(rows: DataFrame, event_time: str = "created_at", after: str = "36500 days") -> DataFrame:
+    """One row that ends a bounded run: nothing but an event time far behind all of ``rows``. Once it has landed, the watermark
+    passes every open window and their state is freed; its own window never closes, so it is never emitted."""
+    last = rows.agg(F.max(event_time).alias(event_time)).filter(F.col(event_time).isNotNull())
+    return last.select(*[(F.col(event_time) + F.expr(f"interval {after}")).cast(f.dataType).alias(f.name) if f.name == event_time
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
 # ---------------------------------------------------------------- alerts
 def spike_alerts(windows: DataFrame, min_mentions: int, min_share: float = THRESHOLDS.emerging_share) -> DataFrame:
-    """Windows that are large and mostly negative, as alert rows keyed by what they are about."""
+    """Windows as alert rows keyed by what they are about; ``hot`` tells whether they are large and mostly negative."""
     share = F.col("negatives") / F.col("mentions")
-    hot = windows.filter((F.col("mentions") >= min_mentions) & (share >= min_share))
     subject = F.concat_ws("|", F.lit("spike"), "source", F.date_format("window_start", "yyyy-MM-dd'T'HH:mm"))
-    return hot.select(F.concat(F.lit("alert:"), F.substring(F.md5(subject), 1, 16)).alias("alert_id"), F.lit("spike").alias("kind"),
-                      F.lit("high").alias("severity"), F.col("source").alias("subject"), "window_start", "mentions", "negatives")
+    return windows.select(F.concat(F.lit("alert:"), F.substring(F.md5(subject), 1, 16)).alias("alert_id"), F.lit("spike").alias("kind"),
+                          F.lit("high").alias("severity"), F.col("source").alias("subject"), "window_start", "mentions", "negatives",
+                          ((F.col("mentions") >= min_mentions) & (share >= min_share)).alias("hot"))
 
 
-def merge_alerts(alerts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Upsert by id. Each batch writes the next version of the table from the previous one; a
-    replayed batch reads the same previous version and so repeats itself exactly."""
-    def write(batch: DataFrame, number: int) -> None:
-        from voxmart.sources.store import upsert
+class AlertTable:
+    """``foreachBatch`` hook that keeps a table of alerts, partitioned by the day of their window, true to the newest numbers.
 
-        new = batch.dropDuplicates(["alert_id"])
-        if number:
-            new = upsert(batch.sparkSession.read.parquet(f"{path}/batch={number - 1}"), new, "alert_id")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    A window that has become hot raises its alert, one that is no longer hot withdraws it. Only the days that a batch touches
+    are read and rewritten. A row depends on its key's stored row and the batch alone, and withdrawn alerts stay as such rows,
+    so a batch that is replayed, after it has been written in part too, leaves the same table.
+    """
 
-    return alerts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = cut_lineage(batch.withColumn("day", F.to_date("window_start")), "alerts")
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # of one batch, at most as many as the watermark spans
+        values = [c for c in batch.columns if c not in ("alert_id", "hot")]
+        old = self.read(spark)
+        if old is None:
+            old = spark.createDataFrame([], new.drop("hot").schema.add("status", "string").add("batch", "long"))
+        kept = old.filter(F.col("day").isin(*days)).select("day", "alert_id", F.struct(*values, "status", "batch").alias("o"))
+        own = new.select("day", "alert_id", F.struct(*values, F.when(F.col("hot"), "raised").otherwise("withdrawn").alias("status"),
+                                                     F.lit(number).cast("long").alias("batch")).alias("n"))
+        merged = kept.join(own, ["day", "alert_id"], "full").filter((F.col("n.status") == "raised") | F.col("o").isNotNull())
+        out = cut_lineage(merged.select("alert_id", F.coalesce("n", "o").alias("r"), "day").select("alert_id", "r.*", "day"), "alerts")
+        if days:
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        """The table, None before the first alert. Its columns are read as they were written."""
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root) or not any("day=" in f.getPath().getName() for f in fs.listStatus(root)):
+            return None
+        return spark.read.parquet(self.path).withColumn("day", F.col("day").cast("date"))
 
 
 # ---------------------------------------------------------------- engagement lifecycle
 HISTORY = ("source_id string, iteration int, captured_at timestamp, likes bigint, likes_delta bigint, retired boolean")
-STATE = "iteration int, likes bigint"
+STATE = "done int, likes bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Passes(StatefulProcessor):
+    """Numbers the snapshots of a post; see ``engagement_lifecycle``."""
+
+    def __init__(self, passes: int, idle_ms: int):
+        self.passes, self.idle_ms = passes, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("passes", STATE)
+
+    def _ends(self, first_seen) -> None:
+        """The post's life ends ``idle_ms`` after it was first seen. Timers are in UTC, as is the session."""
+        if first_seen is not None:
+            self.handle.registerTimer(int(first_seen.replace(tzinfo=timezone.utc).timestamp() * 1000) + self.idle_ms + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.state.update((initialState["refresh_count"] or 0, initialState["likes"]))
+        self._ends(initialState["first_seen"])
 
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        known = self.state.get() if self.state.exists() else None
+        done, last = (known[0], known[1]) if known else (0, None)
+        room = max(self.passes - done, 0)
+        first, out = None, []
 
-def engagement_lifecycle(snapshots: DataFrame, passes: int = THRESHOLDS.refresh_max_iterations,
-                         idle_ms: int = 24 * 3600 * 1000, delay: str = "1 day") -> DataFrame:
+        def dated(rows):
+            nonlocal first
+            for r in rows:
+                if r["first_seen"] is not None and (first is None or r["first_seen"] < first):
+                    first = r["first_seen"]
+                yield r
+
+        # Of a batch only the earliest snapshots that still count are held.
+        for r in heapq.nsmallest(room, dated(rows), key=lambda r: (r["captured_at"], r["likes"])):
+            done += 1
+            out.append(Row(source_id=key[0], iteration=done, captured_at=r["captured_at"], likes=r["likes"],
+                           likes_delta=None if last is None else r["likes"] - last, retired=done >= self.passes))
+            last = r["likes"]
+        if out:
+            self.state.update((done, last))
+            self._ends(first)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def engagement_lifecycle(snapshots: DataFrame, passes: int = THRESHOLDS.refresh_max_iterations, idle_ms: int = 24 * 3600 * 1000,
+                         delay: str = "1 day", stored: DataFrame | None = None) -> DataFrame:
     """Numbered passes per post with the change since the last one; after ``passes`` a post retires.
 
-    Needs (source_id, captured_at, likes) and, where it is known, first_seen. State per post is two numbers; of a batch only
-    the earliest snapshots that can still count are held, so a hot post stays bounded. The count never starts again: snapshots
-    later than ``idle_ms`` after first_seen do not count, and only when the watermark has passed that time is the state
-    dropped. Without first_seen it is kept.
+    Needs (source_id, captured_at, likes, first_seen). ``stored`` (source_id, refresh_count, likes, first_seen) are the posts as
+    the tables have them when the job first starts: their count goes on from there. State per post is two numbers. Snapshots
+    later than ``idle_ms`` after first_seen do not count, and a timer drops the state when the watermark has passed that
+    time, so the count never starts again. A post whose first_seen is null keeps its state. The state store has to be
+    ``ROCKSDB``.
     """
-    known = "first_seen" in snapshots.columns
-    names = ["source_id", "captured_at", "likes", *(["first_seen"] if known else [])]
-
-    def step(key, frames: Iterator, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, last = state.get if state.exists else (0, None)
-        room = passes - done
-        held = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame])
-            held = held.sort_values(["captured_at", "likes"], kind="stable").head(max(room, 0))
-        rows = []
-        for at, likes in zip(held["captured_at"], held["likes"], strict=True):
-            done += 1
-            rows.append((key[0], done, at, int(likes), None if last is None else int(likes) - last, done >= passes))
-            last = int(likes)
-        if rows:
-            state.update((done, last))
-            if known:
-                end = int(held["first_seen"].min().timestamp() * 1000) + idle_ms
-                state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs()) + 1)
-            out = pd.DataFrame(rows, columns=["source_id", "iteration", "captured_at", "likes", "likes_delta", "retired"])
-            out["likes_delta"] = out["likes_delta"].astype("Int64")
-            yield out
-
-    rows = snapshots.select(*names).withWatermark("captured_at", delay)
-    if known:
-        rows = rows.filter(F.unix_millis("captured_at") <= F.unix_millis("first_seen") + idle_ms)
-    return rows.groupBy("source_id").applyInPandasWithState(step, HISTORY, STATE, "append", "EventTimeTimeout")
+    rows = snapshots.select("source_id", "captured_at", "likes", "first_seen").withWatermark("captured_at", delay)
+    rows = rows.filter(F.col("first_seen").isNull() | (F.unix_millis("captured_at") <= F.unix_millis("first_seen") + idle_ms))
+    seeds = None if stored is None else stored.select("source_id", "refresh_count", "likes", "first_seen").groupBy("source_id")
+    return rows.groupBy("source_id").transformWithState(Passes(passes, idle_ms), HISTORY, "append", "EventTime", seeds)
+
+
+# ---------------------------------------------------------------- scoring
+class Scorer:
+    """``foreachBatch`` hook that scores posts as they arrive: a baseline row each, and depth for those that need it.
+
+    ``path``/baseline and ``path``/depth hold the rows, ``path``/refused the ids and errors of what an external scorer refused
+    (those posts keep their baseline), and ``path``/ledger one row of counts per batch. All are written under the number of
+    the batch, the ledger last: a replayed batch replaces itself, and a batch in the ledger is complete.
+    """
+
+    def __init__(self, path: str, lexicon: DataFrame, scorer: Callable[[list[dict]], list[dict]] | None = None, schema: T.StructType | None = None,
+                 size: int = 12):
+        self.path, self.lexicon, self.scorer, self.schema, self.size = path, lexicon, scorer, schema, size
+
+    def _put(self, rows: DataFrame, part: str, number: int) -> DataFrame:
+        place = f"{self.path}/{part}/batch={number}"
+        rows.write.mode("overwrite").parquet(place)
+        return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        posts = cut_lineage(batch, "scored")
+        base = self._put(scoring.baseline_rows(posts, scoring.lexicon_scores(posts, self.lexicon)).drop("aspects"), "baseline", number)
+        counts = base.agg(F.count(F.lit(1)).alias("posts"))
+        if self.scorer is not None:
+            asked = scoring.needs_depth(base).select("source_id", F.col("text_masked").alias("text"))
+            tried = self._put(scoring.score_or_refuse(asked, self.scorer, self.schema, self.size), "tried", number)
+            deep = self._put(tried.filter("error IS NULL").drop("error"), "depth", number)
+            bad = self._put(tried.filter("error IS NOT NULL").select("source_id", "error"), "refused", number)
+            counts = counts.crossJoin(deep.agg(F.count(F.lit(1)).alias("deep"))).crossJoin(bad.agg(F.count(F.lit(1)).alias("refused")))  # one row each
+        self._put(counts, "ledger", number)
 
 
 # ---------------------------------------------------------------- re-clustering
 class Recluster:
-    """``foreachBatch`` hook that starts ``action`` each time another ``every`` rows have been enriched.
+    """``foreachBatch`` hook that stores enriched rows and clusters what is stored anew each time another ``every`` rows are there.
+
+    Between full runs new rows go to the standing cluster of their nearest stored one, by ``assign``. Rows are kept per batch
+    number below ``path``, so restarts and replays count once, and a run at batch n sees the batches up to n, whatever has been
+    stored since.
 
-    Counts are kept per batch number below ``path``, so restarts and replays count once.
+    cluster: all stored rows -> (source_id, cluster). assign: new rows, stored rows with their ``cluster`` -> the same for the new.
     """
 
-    def __init__(self, path: str, every: int, action: Callable[[SparkSession, int], None]):
-        self.path, self.every, self.action = path, every, action
+    def __init__(self, path: str, every: int, cluster: Callable[[DataFrame], DataFrame], assign: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.path, self.every, self.cluster, self.assign = path, every, cluster, assign
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        one = batch.agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(number).cast("long"))
-        one.write.mode("overwrite").parquet(f"{self.path}/seen={number}")
-        seen = spark.read.parquet(self.path).agg(
-            F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("batch") < number, F.col("n"))), F.lit(0)).alias("before")).first()
+        batch.write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
+        stored = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{self.path}/rows").filter(F.col("batch") <= number)
+        seen = stored.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("batch") < number).alias("before")).first()
         if seen["all"] // self.every > seen["before"] // self.every:
-            self.action(spark, seen["all"])
+            out = self.cluster(stored.drop("batch")).withColumn("kind", F.lit("full"))
+        else:
+            standing = self.read(spark, number - 1)
+            fresh = stored.filter(F.col("batch") == number).drop("batch")
+            if standing is None:
+                return
+            known = stored.filter(F.col("batch") < number).drop("batch").join(standing.select("source_id", "cluster"), "source_id")
+            out = standing.select("source_id", "cluster").unionByName(self.assign(fresh, known).select("source_id", "cluster")) \
+                .withColumn("kind", F.lit("assigned"))
+        out.write.mode("overwrite").parquet(f"{self.path}/clusters/version={number}")
+
+    def read(self, spark: SparkSession, number: int | None = None) -> DataFrame | None:
+        """The newest clusters, or those of batch ``number`` or the last one before it that made any; None without any."""
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/clusters")
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        made = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+        made = [n for n in made if number is None or n <= number]
+        return spark.read.parquet(f"{self.path}/clusters/version={max(made)}") if made else None
