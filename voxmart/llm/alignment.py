@@ -21,10 +21,12 @@ so other columns may have any name.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from . import kernels, tokens
 from .catalog import query, table
 
 HOT = 1 << 16     # pairs whose counts are broadcast, 17 bytes each
-CACHE = 300_000   # pieces whose ids a Python worker keeps
+CACHE = 400_000   # pieces whose ids a Python worker keeps
 SHORT = 48        # characters of a piece worth keeping
 BYTES = 1 << 20   # of text worked on at once; only a single longer text makes it more
 WIDE = 1 << 16    # links of one group from which on its ids are counted first
@@ -68,7 +70,8 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a, self.b, self.size, self.kept = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second), cache, {}
+        self.a, self.b, self.size = Tokenizer.from_file(first), sentencepiece.SentencePieceProcessor(model_file=second), cache
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.a.encode_special_tokens = True
         letters = byte_letters()
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
@@ -83,34 +86,41 @@ class Pair:
     def _new(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Ids of pieces as bytes of 32-bit numbers, none where the tokens do not spell a space and the piece."""
         spelled = [b" " + p.encode() for p in pieces]
-        size = np.array(list(map(len, spelled)), np.int64)
+        size, joined = np.array(list(map(len, spelled)), np.int64), b"".join(spelled)
         whole, found = np.ones(len(pieces), bool), []
         first = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         for ids, entry, width in ((first, self.a_bytes, self.a_size), (self.b.encode(pieces, num_threads=1), self.b_bytes, self.b_size)):
             n = np.array(list(map(len, ids)), np.int64)
-            flat = np.array([i for one in ids for i in one], np.int64)
-            whole &= _sums(width[flat], n) == size
-            if b"".join(map(entry.__getitem__, flat.tolist())) != b"".join(spelled):
+            flat = list(chain.from_iterable(ids))
+            number = np.array(flat, np.int64)
+            whole &= _sums(width[number], n) == size
+            if not whole.all() or b"".join(map(entry.__getitem__, flat)) != joined:
                 whole &= np.array([b"".join(map(entry.__getitem__, one)) == x for one, x in zip(ids, spelled)], bool)
-            raw, at = flat.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
-            found.append([raw[lo:hi] for lo, hi in zip(at, at[1:])])
-        return {p: (x, y) if ok else (b"", b"") for p, x, y, ok in zip(pieces, *found, whole.tolist())}
-
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of A and of B of each text, both empty where it has no tokens. What is not kept is encoded at once for all texts."""
+            raw, at = number.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
+            found.append(list(map(raw.__getitem__, map(slice, at, at[1:]))))
+        out = dict(zip(pieces, zip(*found)))
+        out.update((pieces[i], (b"", b"")) for i in np.flatnonzero(~whole).tolist())
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B in all texts, and how many each text has; none where a text has no tokens."""
         cut = [() if not t else _CUT.split(t) if t[0] == " " or t[-1] == " " or _LOOSE.search(t) else t.split(" ") for t in texts]
-        kept = self.kept
-        got = [list(map(kept.get, pieces)) for pieces in cut]
-        new = dict.fromkeys(p for pieces, mine in zip(cut, got) if None in mine for p, g in zip(pieces, mine) if g is None)
-        if new:
-            new = self._new(list(new))
-            got = [[new[p] if g is None else g for p, g in zip(pieces, mine)] if None in mine else mine for pieces, mine in zip(cut, got)]
-            if len(kept) < self.size:
-                kept.update((p, g) for p, g in new.items() if len(p) <= SHORT)
-        nothing = b"", b""
-        parted = [zip(*mine) if mine and nothing not in mine else ((), ()) for mine in got]
-        joined = [(b"".join(x), b"".join(y)) for x, y in parted]
-        return [x for x, _ in joined], [y for _, y in joined]
+        kept, nothing = self.kept, (b"", b"")
+        new = self._new(list(set(chain.from_iterable(cut)).difference(kept)))
+        bad = {p for p, g in new.items() if g == nothing}
+        if bad:
+            cut = [() if bad.intersection(pieces) else pieces for pieces in cut]
+        room = len(kept) < self.size
+        kept.update(new)
+        got = list(map(kept.__getitem__, chain.from_iterable(cut)))
+        for p in new:  # what is not worth keeping leaves again
+            if not room or len(p) > SHORT or p in bad:
+                del kept[p]
+        if room:
+            gc.freeze()  # what is kept need not be looked through by every collection
+        size = np.array(list(map(len, cut)), np.int64)
+        sides = zip(*got) if got else ((), ())
+        return tuple(zip(*((np.frombuffer(b"".join(side), "<u4"), _sums(np.array(list(map(len, side)), np.int64) // 4, size)) for side in sides)))
 
 
 def pair(first: str, second: str) -> Pair:
@@ -211,9 +221,7 @@ def aligned(docs: DataFrame, first: str, second: str, key: str = "doc_id", text:
         made = pair(first, second)
         for batch in batches:
             for part in kernels.slices(batch, "t", BYTES):
-                ids = made.encode(part["t"].to_pylist())
-                a, b = (np.frombuffer(b"".join(side), "<u4") for side in ids)
-                n_a, n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in ids)
+                (a, b), (n_a, n_b) = made.encode(part["t"].to_pylist())
                 found = Aligned(made, a, b, n_a, n_b)
                 doc, code, times = found.pairs()
                 at = pa.array(np.searchsorted(doc, np.arange(len(n_a) + 1)), pa.int32())
