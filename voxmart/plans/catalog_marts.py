@@ -107,27 +107,33 @@ RM = """
     LEFT JOIN li USING (customer_key)),
   g AS (SELECT *, CASE WHEN bad THEN pain ELSE 'No negative mentions on record' END AS top_pain_point,
     CASE WHEN NOT bad THEN 'none' WHEN coalesce(cat, 'not_applicable') <> 'not_applicable' THEN cat ELSE team END AS top_pain_area,
-    CASE WHEN NOT list_contains(held, 'credit card') AND coalesce(cat, 'not_applicable') IN ('levy_of_charges',
-        'deposit_accounts', 'not_applicable') AND coalesce(team, 'none') IN ('cards', 'customer_support', 'none')
-        THEN 'Everyday card'
-      WHEN NOT list_contains(held, 'personal loan') AND team = 'payments_upi' THEN 'Instant loan'
-      WHEN NOT list_contains(held, 'fixed deposit') AND want IN ('query', 'suggestion') THEN 'Savings plan'
-      WHEN NOT list_contains(held, 'home loan') AND cat = 'loans_advances' THEN 'Loan transfer'
-      WHEN NOT list_contains(held, 'insurance') AND list_contains(held, 'credit card') THEN 'Cover plan'
-      WHEN NOT list_contains(held, 'demat') AND coalesce(team, 'none') IN ('none', 'customer_support') THEN 'Investing account'
+    CASE @OFFERS@
       ELSE 'Review meeting' END AS cross_sell_product FROM f)"""
 
 
-# An example of the input a house brings: its own offers.
+# An example of the input a house brings: product that must be missing, conditions, offer, line to say.
 OFFERS = [
-    ("credit card", {"rbi_category": ("levy_of_charges", "deposit_accounts", "not_applicable"),
-                     "team": ("cards", "customer_support", "none")}, "Everyday card", "Offer the everyday card."),
-    ("personal loan", {"team": ("payments_upi",)}, "Instant loan", "Offer the instant loan."),
-    ("fixed deposit", {"intent": ("query", "suggestion")}, "Savings plan", "Offer the savings plan."),
-    ("home loan", {"rbi_category": ("loans_advances",)}, "Loan transfer", "Offer to move the loan."),
-    ("insurance", {"held": "credit card"}, "Cover plan", "Offer the cover plan."),
-    ("demat", {"team": ("none", "customer_support")}, "Investing account", "Offer the investing account."),
+    ("overdraft", {"held": "fixed deposit", "intent": ("complaint", "churn_threat")}, "Bridging line", "Short of cash before the deposit is due?"),
+    ("pension plan", {"held": "home loan"}, "Later-life plan", "The house is paid for one day; what then?"),
+    ("current account", {"team": ("branch_ops", "cards"), "rbi_category": ("not_applicable", "credit_card")}, "Business account", "Keep shop and household apart."),
+    ("gold loan", {"intent": ("other", "query")}, "Quick pledge", "Cash against what lies in the locker."),
 ]
+_DEFAULTS = {"rbi_category": ("cat", "not_applicable"), "team": ("team", "none"), "intent": ("want", "other")}
+
+
+def _offered(offer) -> str:
+    missing, needs, product, _ = offer
+    tests = [f"NOT list_contains(held, '{missing}')"]
+    for name, allowed in needs.items():
+        if name == "held":
+            tests.append(f"list_contains(held, '{allowed}')")
+        else:
+            column, default = _DEFAULTS[name]
+            tests.append(f"coalesce({column}, '{default}') IN (" + ", ".join(f"'{x}'" for x in allowed) + ")")
+    return f"WHEN {' AND '.join(tests)} THEN '{product}'"
+
+
+RM = RM.replace("@OFFERS@", " ".join(map(_offered, OFFERS)))
 
 
 @query("mart_rm_enablement", with_ctes("mentions", "bridge", "customers", "threads") + f""", {INTERACTIONS}, {RM}
