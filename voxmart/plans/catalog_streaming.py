@@ -119,7 +119,10 @@ def _(spark, sf):
     table = jobs.AlertTable(out)
     run_in_slices(spark, A.mentions(spark, sf), lambda rows: jobs.spike_alerts(jobs.windowed_volume(rows).filter("source IS NOT NULL"), 3)
                   .writeStream.outputMode("update").foreachBatch(table).option("checkpointLocation", ck), close=False)
-    return table.read(spark).filter("status = 'raised'").select("alert_id", "subject", "mentions", "negatives")
+    found = table.read(spark)
+    if found is None:
+        return spark.createDataFrame([], "alert_id string, subject string, mentions bigint, negatives bigint")
+    return found.filter("status = 'raised'").select("alert_id", "subject", "mentions", "negatives")
 
 
 @query("stream_engagement", """WITH f AS (SELECT user_id, min(ts) AS first_seen FROM events GROUP BY user_id),
