@@ -11,7 +11,7 @@ from tests.llm.test_decontamination import words
 from voxmart.llm import language_model as lm
 
 
-def brute(docs, contexts, rounds=lm.ROUNDS):
+def brute(docs, rounds=lm.ROUNDS):
     """Rows of the query, with EM on every occurrence's own estimates."""
     held = [d is None or zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
     streams = [[*words(t), "\n"] for _, t in docs]
@@ -21,16 +21,9 @@ def brute(docs, contexts, rounds=lm.ROUNDS):
             one.update(s)
             two.update(zip(["\n", *s], s))
     n, v = sum(one.values()), len(one)
-    sizes = Counter(one.values())
-    least = min((c for c in sizes if sum(k for m, k in sizes.items() if m >= c) <= contexts), default=1 << 62)
-    ctx = {w: c for w, c in one.items() if c >= least}
-    pooled = n - sum(ctx.values())
-    name = lambda w: w if w in ctx else None
-    pair = Counter()
-    for (a, b), c in two.items():
-        pair[name(a), b] += c
-    size = lambda a: ctx.get(a, pooled)
-    bucket = lambda a: ctx[a].bit_length() if a in ctx else 0
+    pair = two
+    size = lambda a: one[a]
+    bucket = lambda a: one[a].bit_length()
     weights = {}
     for k in {None, *(bucket(a) for a, _ in pair)}:
         rows = [(c, 0 if k is None else (c - 1) / max(1, size(a) - 1), (one[b] - 1) / max(1, n - 1), 1 / (v + 1))
@@ -47,7 +40,6 @@ def brute(docs, contexts, rounds=lm.ROUNDS):
     for (d, _), h, s in zip(docs, held, streams):
         total = 0.0
         for a, b in zip(["\n", *s], s):
-            a = name(a)
             w = weights.get(bucket(a), weights[None])
             total += math.log10(w[0] * (pair[a, b] / size(a) if pair[a, b] else 0) + w[1] * one[b] / max(1, n) + w[2] / (v + 1))
         out.append((d, h, len(s), sum(b in one for b in s), n, sum(math.log10((one[b] + 1) / (n + v + 1)) for b in s), total))
@@ -62,13 +54,14 @@ def close(got, want, loose=0.02):
         assert abs(g[5] - w[5]) < 1e-9 * max(1, -w[5]) and abs(g[6] - w[6]) <= loose * max(1, -w[6])
 
 
-@pytest.mark.parametrize("contexts, hot", [(1 << 18, 512), (200, 512), (200, 8), (0, 0)])
-def test_against_brute_force(spark, documents, monkeypatch, contexts, hot):
+@pytest.mark.parametrize("known, hot", [(1 << 18, 512), (200, 512), (200, 8), (0, 0)])
+def test_against_brute_force(spark, documents, monkeypatch, known, hot):
+    """Every context keeps its own counts, however many words the tasks know."""
     monkeypatch.setattr(lm, "HOT", hot)
     monkeypatch.setattr(lm, "RECORDS", 5000)
     docs = documents.filter("doc_id < 60").select("doc_id", lm.held_out().alias("held_out"), F.col("text").alias("t"))
-    rows = lm.score(docs, lm.learn(docs.filter("NOT held_out").select("t"), contexts)).collect()
-    close(rows, brute([(r.doc_id, r.t) for r in docs.collect()], contexts))
+    rows = lm.score(docs, *lm.learn(docs, known)).collect()
+    close(rows, brute([(r.doc_id, r.t) for r in docs.collect()]))
 
 
 def test_query(spark):
@@ -82,5 +75,5 @@ def test_query(spark):
 def test_odd_rows(spark, odd, nothing):
     for df in (odd, nothing, odd.filter("doc_id = 2")):
         docs = df.select("doc_id", lm.held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("t"))
-        rows = lm.score(docs, lm.learn(docs.filter("NOT held_out").select("t"))).collect()
-        close(rows, brute([(r.doc_id, r.t) for r in docs.collect()], 1 << 18))
+        rows = lm.score(docs, *lm.learn(docs)).collect()
+        close(rows, brute([(r.doc_id, r.t) for r in docs.collect()]))
