@@ -15,6 +15,28 @@ def test_query_on_held_out_labels(spark):
     held = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
     good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
     assert np.mean([a > b for a in good for b in bad]) > 0.9
+    # neither short nor long texts are judged worse
+    size = {r.doc_id: len((r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    middle = np.median([size[r.doc_id] for r in rows])
+    for long in (False, True):
+        held = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label and (size[r.doc_id] > middle) == long]
+        good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+        assert np.mean([a > b for a in good for b in bad]) > 0.85
+
+
+def test_training_sees_every_window(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n in (0, 5, 6, 517, 518, 6000):
+        text = bytes(rng.integers(0, 256, n, np.uint8))
+        parts = quality.all_chunks(text)
+        seen = [p[i: i + quality.WIDTH] for p in parts for i in range(len(p) - quality.WIDTH + 1)]
+        assert seen == [text[i: i + quality.WIDTH] for i in range(n - quality.WIDTH + 1)]
+    net, texts = quality.Network(), [quality.all_chunks(bytes(rng.integers(97, 105, n, np.uint8))) for n in (6000, 30, 1500)]
+    label, weight = np.array([1.0, 0.0, 1.0]), np.ones(3)
+    whole = net._gradients(texts, label, weight)
+    monkeypatch.setattr(quality, "CHUNKS", 2)
+    parts = net._gradients(texts, label, weight)
+    assert all(np.allclose(whole[k], parts[k]) for k in whole)
 
 
 def test_maxima_against_brute_force():

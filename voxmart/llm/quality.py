@@ -6,8 +6,9 @@ by WIDTH - 1 bytes, so every window of the whole text is seen once. Each filter
 them into the probability of label 1.
 
 Training (Adam, on the driver) uses a bounded sample: at most ``per_class`` texts of each label, those with the smallest
-hashes of their ids, and of each at most ``windows`` evenly spaced chunks. The sample is balanced; weights bring the share of
-the labels back to that of all labelled rows. With labels of one kind only, or none, every score is the same constant (the
+hashes of their ids; of a doc_id with several texts the smallest. All chunks of these texts are learned from, block by block,
+so that training pools over a whole text as scoring does. The sample is balanced; weights bring the share of the labels back
+to that of all labelled rows. With labels of one kind only, or none, every score is the same constant (the
 label, or 0.5). Scoring always reads whole texts. Null and empty texts are scored as texts without bytes. Rows and columns
 stay as they are; a column named like an added one is replaced.
 """
@@ -27,11 +28,11 @@ from .catalog import query, table
 WIDTH, DEPTH, FILTERS = 6, 6, 24
 CHUNK = 512            # bytes that start a window in one chunk
 PER_CLASS = 1000       # labelled texts in training, of each label
-WINDOWS = 4            # chunks of a text in training
 EPOCHS = 16
 GOOD = 0.7             # predicted is 1 from here on
 KEEP = GOOD            # the filter follows the classifier's decision
 BLOCK = 1 << 16        # bytes convolved at once
+CHUNKS = 128           # chunks convolved at once in training
 OUT = ("score", "predicted")
 
 
@@ -95,18 +96,10 @@ class Network:
         chunks = [np.frombuffer(c.ljust(WIDTH, b"\0"), np.uint8) for t in texts for c in t]
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         first = np.searchsorted(owner, np.arange(len(texts)))
-        width = max(map(len, chunks))
-        data = np.zeros((len(chunks), width), np.uint8)
-        for i, c in enumerate(chunks):
-            data[i, : len(c)] = c
-        spots = width - WIDTH + 1
         tables = self.tables()
-        r = tables[0][data[:, :spots]]
-        for k in range(1, WIDTH):
-            r += tables[k][data[:, k: spots + k]]
-        r[np.arange(spots)[None] > np.array([len(c) - WIDTH for c in chunks])[:, None]] = -1e9
-        where = r.argmax(axis=1)                                         # (chunks, FILTERS)
-        top = np.take_along_axis(r, where[:, None], axis=1)[:, 0] + self.p["bias"]
+        parts = [self._largest(chunks[at: at + CHUNKS], tables) for at in range(0, len(chunks), CHUNKS)]
+        windows, top = (np.concatenate(p) for p in zip(*parts))          # (chunks, FILTERS, WIDTH), (chunks, FILTERS)
+        top = top + self.p["bias"]
         act = np.maximum(top, 0)
         most, mean = np.maximum.reduceat(act, first), np.add.reduceat(act, first)
         many = np.diff(np.append(first, len(owner)))[:, None]
@@ -116,21 +109,39 @@ class Network:
         dz = d[:, None] * self.p["out"]
         dact = dz[owner, FILTERS:] / many[owner] + dz[owner, :FILTERS] * (act == most[owner]) * (act > 0)
         dtop = dact * (top > 0)
-        windows = data[np.arange(len(data))[:, None, None], where[:, :, None] + np.arange(WIDTH)]   # (chunks, FILTERS, WIDTH)
-        dconv, dembed = np.zeros_like(self.p["conv"]).reshape(WIDTH, DEPTH, FILTERS), np.zeros_like(self.p["embed"])
+        dconv, dembed = np.zeros_like(self.p["conv"]).reshape(WIDTH, DEPTH, FILTERS), np.zeros(256 * DEPTH)
         conv = self.p["conv"].reshape(WIDTH, DEPTH, FILTERS)
-        for k in range(WIDTH):
-            dconv[k] = np.einsum("cfd,cf->df", self.p["embed"][windows[:, :, k]], dtop)
-            np.add.at(dembed, windows[:, :, k].ravel(), (dtop[:, :, None] * conv[k].T).reshape(-1, DEPTH))
+        for at in range(0, len(chunks), CHUNKS):
+            here, change = windows[at: at + CHUNKS], dtop[at: at + CHUNKS]
+            for k in range(WIDTH):
+                dconv[k] += np.einsum("cfd,cf->df", self.p["embed"][here[:, :, k]], change)
+                spot = here[:, :, k, None].astype(np.int64) * DEPTH + np.arange(DEPTH)
+                dembed += np.bincount(spot.ravel(), (change[:, :, None] * conv[k].T).ravel(), 256 * DEPTH)
+        dembed = dembed.reshape(256, DEPTH)
         return {"embed": dembed + 1e-4 * self.p["embed"], "conv": dconv.reshape(WIDTH * DEPTH, FILTERS) + 1e-4 * self.p["conv"],
                 "bias": dtop.sum(axis=0), "out": z.T @ d + 1e-4 * self.p["out"], "b": np.array([d.sum()])}
 
 
-def training_windows(text: bytes, windows: int = WINDOWS) -> list[bytes]:
-    """Evenly spaced chunks of a text, with the bytes that their last windows reach into."""
+    def _largest(self, chunks: list[np.ndarray], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of each filter's best window in each chunk, and its response before the bias."""
+        width = max(map(len, chunks))
+        data = np.zeros((len(chunks), width), np.uint8)
+        for i, c in enumerate(chunks):
+            data[i, : len(c)] = c
+        spots = width - WIDTH + 1
+        r = tables[0][data[:, :spots]]
+        for k in range(1, WIDTH):
+            r += tables[k][data[:, k: spots + k]]
+        r[np.arange(spots)[None] > np.array([len(c) - WIDTH for c in chunks])[:, None]] = -1e9
+        where = r.argmax(axis=1)                                         # (chunks, FILTERS)
+        return data[np.arange(len(data))[:, None, None], where[:, :, None] + np.arange(WIDTH)], \
+            np.take_along_axis(r, where[:, None], axis=1)[:, 0]
+
+
+def all_chunks(text: bytes) -> list[bytes]:
+    """The chunks of a text, with the bytes that their last windows reach into."""
     n = max(1, -(-(len(text) - WIDTH + 1) // CHUNK))
-    at = range(n) if n <= windows else [round(i * (n - 1) / (windows - 1)) for i in range(windows)]
-    return [text[i * CHUNK: (i + 1) * CHUNK + WIDTH - 1] for i in at]
+    return [text[i * CHUNK: (i + 1) * CHUNK + WIDTH - 1] for i in range(n)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int = PER_CLASS) -> Network:
@@ -141,25 +152,15 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     chosen = [marked.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows of two numbers
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [training_windows(t.encode()) for t in batch["t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(parts, pa.list_(pa.binary()))],
-                                             names=["doc_id", "quality", "parts"])
-
-    quality = labels.schema["quality"].dataType.simpleString()
     rows = docs.select("doc_id", F.col(text).alias("t")).filter("t IS NOT NULL").join(few, "doc_id") \
-        .select("doc_id", "quality", "t") \
-        .mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality {quality}, parts array<binary>").collect()
-    first = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.parts))}  # of a repeated row, one
-    rows = [first[k] for k in sorted(first)]
+        .groupBy("doc_id", "quality").agg(F.min("t").alias("t")).orderBy("doc_id").collect()
     net, label = Network(), np.array([r.quality for r in rows], float)
     if len(set(label.tolist())) < 2:
         net.constant = float(label[0]) if len(label) else 0.5
         return net
     share = total[1] / (total[0] + total[1])
     weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
-    net.fit([[bytes(c) for c in r.parts] for r in rows], label, weight)
+    net.fit([all_chunks(r.t.encode()) for r in rows], label, weight)
     return net
 
 
