@@ -1,5 +1,6 @@
 import pytest
 from check import compare, oracle_connection
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SF
 from voxmart.llm import catalog, preferences
@@ -60,11 +61,12 @@ def test_pairs(spark, case):
 
 
 def test_odd_rows(spark):
-    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", None), (None, 1, "assistant", "b"), (2, 5, None, ""),
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", None), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (2, 5, None, ""),
             (3, 1, "assistant", "only")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "'x' AS turns")
     chats = preferences.conversations(df)
     got = {r.conv_id: r for r in preferences.format_pairs(preferences.stale_reply_pairs(chats)).collect()}
+    assert chats.filter("conv_id IS NULL").select(F.size("turns")).collect() == [(1,), (1,)]
     assert set(got) == {1, 2, 3, None} and got[1].prompt_turns == 3 and not got[1].usable
     assert got[3].prompt == "" and got[3].rejected == "" and got[3].chosen.startswith("<|im_start|>assistant\nonly")
     assert preferences.format_pairs(preferences.stale_reply_pairs(preferences.conversations(df.limit(0)))).collect() == []

@@ -73,9 +73,11 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
 
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """One row per conversation: key and ``turns``, by turn number, then role and text; nulls first. A conversation is one
-    record, so its turns come together; rows without a key are one conversation."""
-    each = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy(key).agg(each.alias("turns")) \
+    record, so its turns come together; nothing says that rows without a key belong together, so each is a conversation of its own."""
+    turn, known = F.struct("turn", "role", "text"), F.col(key).isNotNull()
+    each = turns.filter(known).groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = turns.filter(~known).select(key, F.array(turn).alias("turns"))
+    return each.unionByName(alone) \
         .select(key, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
