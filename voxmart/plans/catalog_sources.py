@@ -143,7 +143,7 @@ def _(spark, sf):
 
 
 def _feeds(spark, sf):
-    """One RSS document per user, its items in the order of the events."""
+    """RSS documents of at most 50 items, a feed per user: a user with very many events has many documents."""
     e = events(spark, sf)
     item = F.concat(F.lit("<item><title>R to @bank: "), F.col("event_type"), F.lit(" &amp;amp; more</title><link>https://n.example/u"), s("user_id"), F.lit("/status/"),
                     (F.col("event_id") + 10 ** 9).cast("string"), F.lit("#m</link><dc:creator>@u"), s("user_id"), F.lit("</dc:creator><pubDate>"),
@@ -151,7 +151,8 @@ def _feeds(spark, sf):
                     F.lit("</p>]]></description></item>"))
     xml = F.concat(F.lit("<rss><channel><title>feed</title>"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("event_id", item.alias("i")))), lambda x: x["i"]), "\n"), F.lit("</channel></rss>"))
-    return e.groupBy(F.concat(F.lit("feed"), s("user_id")).alias("feed")).agg(xml.alias("xml"))
+    return e.groupBy(F.concat(F.lit("feed"), s("user_id")).alias("feed"), F.floor(F.col("event_id") / 50).alias("page")) \
+        .agg(xml.alias("xml")).drop("page")
 
 
 @query("rss_items", """SELECT 'feed' || user_id AS feed, 'https://n.example/u' || user_id || '/status/' || (event_id + 1000000000) || '#m' AS link,
