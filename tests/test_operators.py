@@ -387,3 +387,18 @@ def test_share_of_voice_sums_to_100(spark):
     other = spark.createDataFrame([("B", "positive", 0.5), ("C", "neutral", 0.0)], "brand string, sentiment string, score double")
     out = marts.share_of_voice(own, other, Brand(name="A")).collect()
     assert sum(r["share_of_voice"] for r in out) == pytest.approx(100) and {r["brand"] for r in out} == {"A", "B", "C"}
+
+
+def test_discourse_topics_are_looked_up_in_the_payload(spark):
+    """No join: a wrong estimate made all topics a broadcast."""
+    import json
+
+    from voxmart.sources import mappers
+    page = json.dumps({"posts": [{"id": "1", "topic_id": 7, "blurb": "a"}, {"id": "2", "topic_id": 9, "blurb": "b"}, {"id": "3", "blurb": "c"}],
+                       "topics": [{"id": 7, "title": "A", "slug": "a"}, {"id": 7, "title": "B", "slug": "b"}, {"title": "none"}]})
+    other = json.dumps({"posts": [{"id": "4", "topic_id": 7, "blurb": "d"}]})
+    df = spark.createDataFrame([(page,), (page,), (other,), ("no json",), (None,)], "payload string")
+    got = mappers.discourse_posts(df, gate=False)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["source_id"]: (r["text"], r["url"].split("/t/")[1]) for r in got.collect()} == {
+        "valuepickr:1": ("B. a", "b/7/1"), "valuepickr:2": ("b", "t/9/1"), "valuepickr:3": ("c", "t/1"), "valuepickr:4": ("d", "t/7/1")}

@@ -195,12 +195,15 @@ def first_non_empty(*paths: DataFrame) -> DataFrame:
 
 def discourse_posts(payloads: DataFrame, brand: Brand = BRAND, site: str = "https://forum.example", gate: bool = True,
                     source: str = "valuepickr") -> DataFrame:
-    """Search answers: each post joined to its topic within the same payload."""
-    src = payloads.withColumn("_page", F.xxhash64("payload"))
-    topics = each(src, "$.topics").select("_page", *[Doc(F.col("_item")).text(f"$.{c}").alias(f"_{c}") for c in ("id", "title", "slug")])
-    topics = topics.groupBy("_page", "_id").agg(F.max(F.struct("_title", "_slug")).alias("_t"))
+    """Search answers: each post with its topic, looked up within the same payload."""
+    topics = F.transform(Doc(F.col("_doc")).items("$.topics"), lambda t: F.struct(
+        *[Doc(t).text(f"$.{c}").alias(f"_{c}") for c in ("id", "title", "slug")]))
+    rows = once(parsed(payloads), _topics=topics).select(
+        "_topics", F.posexplode(Doc(F.col("_doc")).items("$.posts")).alias("_pos", "_item"))
     d = Doc(F.col("_item"))
-    rows = each(src, "$.posts").withColumn("_id", d.text("$.topic_id")).join(topics, ["_page", "_id"], "left")
+    rows = once(rows, _id=d.text("$.topic_id"))
+    # Of topics with the same id the greatest title and slug count.
+    rows = once(rows, _t=F.array_max(F.filter("_topics", lambda t: t["_id"] == F.col("_id")))).drop("_topics")
     said = joined(". ", F.col("_t._title"), text.squeeze(d.text("$.blurb", default="")))
     keep = F.length(said) > 0
     if gate:
