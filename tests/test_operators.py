@@ -402,3 +402,17 @@ def test_discourse_topics_are_looked_up_in_the_payload(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r["source_id"]: (r["text"], r["url"].split("/t/")[1]) for r in got.collect()} == {
         "valuepickr:1": ("B. a", "b/7/1"), "valuepickr:2": ("b", "t/9/1"), "valuepickr:3": ("c", "t/1"), "valuepickr:4": ("d", "t/7/1")}
+
+
+def test_cards_come_out_in_small_batches(spark, monkeypatch):
+    """One page with more cards than a batch; before, all cards of all pages that came in at once were one frame."""
+    from voxmart.sources import pages
+    assert pages.BATCH <= 5000
+    card = "<div class='place-card'><a class='place-name'>n{}</a><span class='place-rating'>4</span></div>"
+    df = spark.createDataFrame([("u", "".join(card.format(i) for i in range(2 * pages.BATCH + 5))), ("v", None), (None, card.format("x"))], "url string, html string")
+    sized = pages.cards(df, pages.BRANCH_CARDS).mapInArrow(lambda batches: batches, "url string, pos int, fields map<string,string>")
+    rows = sized.collect()
+    assert len(rows) == 2 * pages.BATCH + 6
+    assert {r["pos"]: r["fields"] for r in rows if r["url"] == "u"}[pages.BATCH] == {"title": f"n{pages.BATCH}", "stars": "4"}
+    assert "PythonMapInArrow" in pages.cards(df, pages.BRANCH_CARDS)._jdf.queryExecution().optimizedPlan().toString() or \
+        "MapInArrow" in pages.cards(df, pages.BRANCH_CARDS)._jdf.queryExecution().optimizedPlan().toString()

@@ -10,7 +10,9 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from voxmart.sources.payload import Doc, each, joined, posts
 # What runs inside tasks travels with them, whether or not the workers have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BATCH = 2000  # cards handed over at once
 NEXT_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 
@@ -122,19 +125,27 @@ class _CardParser(HTMLParser):
 
 
 def cards(pages: DataFrame, spec: Cards, key: str = "url") -> DataFrame:
-    """(key, pos, fields): one row per card of each page."""
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for k, html in zip(frame[key], frame["html"], strict=True):
-                parser = _CardParser(spec)
-                parser.feed(html or "")
-                out += [(k, i, {n: " ".join(v.split()) for n, v in card.items()}) for i, card in enumerate(parser.cards)]
-            yield pd.DataFrame(out, columns=[key, "pos", "fields"])
-
-    return pages.select(key, "html").mapInPandas(run, f"{key} string, pos int, fields map<string,string>")
+    """(key, pos, fields): one row per card of each page. A task holds one page and BATCH cards as Python objects, whatever the number of
+    pages that come in at once."""
+    def batch_of(rows):
+        of = lambda at, kind: pa.array([r[at] for r in rows], kind)
+        return pa.RecordBatch.from_arrays([of(0, pa.string()), of(1, pa.int32()), of(2, pa.map_(pa.string(), pa.string()))],
+                                          names=[key, "pos", "fields"])
+
+    def found(batch):
+        for k, html in zip(batch.column(0), batch.column(1)):
+            parser = _CardParser(spec)
+            parser.feed(html.as_py() or "")
+            for i, card in enumerate(parser.cards):
+                yield k.as_py(), i, [(n, " ".join(v.split())) for n, v in card.items()]
+
+    def run(batches):
+        for batch in batches:
+            rows = found(batch)
+            while part := list(islice(rows, BATCH)):
+                yield batch_of(part)
+
+    return pages.select(key, "html").mapInArrow(run, f"{key} string, pos int, fields map<string,string>")
 
 
 # Class names of the card layouts.
