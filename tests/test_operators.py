@@ -416,3 +416,15 @@ def test_cards_come_out_in_small_batches(spark, monkeypatch):
     assert {r["pos"]: r["fields"] for r in rows if r["url"] == "u"}[pages.BATCH] == {"title": f"n{pages.BATCH}", "stars": "4"}
     assert "PythonMapInArrow" in pages.cards(df, pages.BRANCH_CARDS)._jdf.queryExecution().optimizedPlan().toString() or \
         "MapInArrow" in pages.cards(df, pages.BRANCH_CARDS)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_assign_asks_once_for_equal_vectors(spark, monkeypatch):
+    from voxmart.operators import issues
+    asked = []
+    real = issues.nearest_neighbours
+    monkeypatch.setattr(issues, "nearest_neighbours", lambda held, asking, *a, **k: asked.append((held.count(), asking.count())) or real(held, asking, *a, **k))
+    known = spark.createDataFrame([(f"k{i}", [1.0, 0.0], "A") for i in range(30)] + [("z", [0.0, 1.0], "B")], "source_id string, embedding array<double>, cluster string")
+    new = spark.createDataFrame([(f"n{i}", [2.0, 0.0]) for i in range(40)] + [("k0", [1.0, 0.0]), ("z", [0.0, 1.0]), ("far", [-1.0, -1.0])], "source_id string, embedding array<double>")
+    got = {r["source_id"]: r["cluster"] for r in issues.assign(new, known).collect()}
+    assert asked == [(3, 4)]
+    assert got == {**{f"n{i}": "A" for i in range(40)}, "k0": "A", "z": "z", "far": "far"}
