@@ -428,3 +428,12 @@ def test_assign_asks_once_for_equal_vectors(spark, monkeypatch):
     got = {r["source_id"]: r["cluster"] for r in issues.assign(new, known).collect()}
     assert asked == [(3, 4)]
     assert got == {**{f"n{i}": "A" for i in range(40)}, "k0": "A", "z": "z", "far": "far"}
+
+
+def test_places_sort_narrow_rows_without_moving_ranges(spark):
+    from voxmart.operators import feed
+    rows = spark.createDataFrame([(f"s{i:02}", i % 3 if i % 4 else None) for i in range(20)], "source_id string, engagement bigint")
+    out = feed.places(rows, "Likes")
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(((r[0], r[1]) for r in rows.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [r["source_id"] for r in out.orderBy("place").collect()] == [r[0] for r in want]

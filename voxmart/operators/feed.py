@@ -238,7 +238,8 @@ def places(rows: DataFrame, field: str, ascending: bool = False) -> DataFrame:
     sizes = order.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")) \
         .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.col("_at") - F.shiftleft(F.col("_range").cast("bigint"), 33)
-    return order.join(sizes, "_range").withColumn("place", F.col("_before") + within + 1).drop("_range", "_at", "_before")
+    # One row per range goes to all tasks: a join by range would move all rows, a whole range to one task.
+    return order.join(F.broadcast(sizes), "_range").withColumn("place", F.col("_before") + within + 1).drop("_range", "_at", "_before")
 
 
 def risk_set(rows: DataFrame) -> DataFrame:

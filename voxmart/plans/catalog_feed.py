@@ -189,8 +189,8 @@ def _(spark, sf):
         row_number() OVER (ORDER BY {column} {'ASC' if up else 'DESC'} NULLS LAST, source_id) AS place FROM mentions"""
     for field, column in feed.SORTS.items() if column != "reach" for up in (False, True)))
 def _(spark, sf):
-    rows = base(spark, sf)
-    out = [feed.places(rows, field, up).select(F.lit(field).alias("field"), F.lit(up).alias("ascending"), "source_id", "place")
+    rows = base(spark, sf)  # only the sorted column travels with the ids
+    out = [feed.places(rows.select("source_id", column), field, up).select(F.lit(field).alias("field"), F.lit(up).alias("ascending"), "source_id", "place")
            for field, column in feed.SORTS.items() if column != "reach" for up in (False, True)]
     return reduce(lambda a, b: a.unionByName(b), out)
 
