@@ -437,3 +437,18 @@ def test_places_sort_narrow_rows_without_moving_ranges(spark):
     assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
     want = sorted(((r[0], r[1]) for r in rows.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert [r["source_id"] for r in out.orderBy("place").collect()] == [r[0] for r in want]
+
+
+def test_csv_import_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from voxmart.plans import catalog_sources as c
+    from voxmart.plans import registry
+    spark.createDataFrame([(i, f"Acme text {i} " * 5) for i in range(200)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query, seen = registry.load()[0]["csv_import"], []
+    real = c.imports.read_csv
+    monkeypatch.setattr(c.imports, "read_csv", lambda s, path: seen.append(path) or real(s, path))
+    one = sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=str)
+    monkeypatch.setattr(c, "FILE_BYTES", 500)
+    many = sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=str)
+    assert one == many
+    files = [spark.read.text(p).inputFiles() for p in seen]
+    assert len(files[0]) == 4 and len(files[1]) > 8
