@@ -452,3 +452,14 @@ def test_csv_import_writes_files_of_bounded_size(spark, tmp_path, monkeypatch):
     assert one == many
     files = [spark.read.text(p).inputFiles() for p in seen]
     assert len(files[0]) == 4 and len(files[1]) > 8
+
+
+def test_fresh_feeds_reads_items_once(spark):
+    from pyspark.sql import functions as F
+
+    from voxmart.sources import mappers
+    items = spark.createDataFrame([("a", "2024-01-05 10:00:00"), ("a", "2020-01-05 10:00:00"), ("b", "2020-01-05 10:00:00"), ("c", None)], "feed string, published string")
+    marked = items.withColumn("mark", F.md5("feed"))
+    got = mappers.fresh_feeds(marked, F.lit("2024-01-06").cast("timestamp"), 30)
+    assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["published"] for r in got.collect()) == ["2020-01-05 10:00:00", "2024-01-05 10:00:00"]

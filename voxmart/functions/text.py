@@ -6,7 +6,6 @@ every script, not only ASCII.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -130,7 +129,8 @@ def unescape_html(text: Column) -> Column:
     References are split off once and mapped one by one, so ``&amp;lt;`` yields ``&lt;``.
     """
     ref = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
-    named = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    # Folded into one constant map when planned; a map read from JSON would be read again for every reference.
+    named = F.map_from_arrays(*[F.split(F.lit("\x01".join(x)), "\x01") for x in (ENTITIES.keys(), ENTITIES.values())])
 
     def decode(mark: Column) -> Column:
         digits = F.regexp_extract(mark, "^&#[xX]?([0-9a-fA-F]+);$", 1)
@@ -144,9 +144,9 @@ def unescape_html(text: Column) -> Column:
 
     between = F.split(text, ref, -1)
     refs = F.regexp_extract_all(text, F.lit(f"({ref})"), F.lit(1))
-    return F.array_join(
+    return F.when(text.contains("&"), F.array_join(
         F.zip_with(between, F.concat(F.transform(refs, decode), F.array(F.lit(""))),
-                   lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")
+                   lambda gap, mark: F.concat(gap, F.coalesce(mark, F.lit("")))), "")).otherwise(text)
 
 
 def html_to_text(markup: Column, tag_becomes: str = " ") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxmart.config import BRAND, THRESHOLDS, Brand
 from voxmart.functions import dates, gates, numbers, text
+from voxmart.session import cut_lineage
 from voxmart.sources.payload import Doc, each, joined, once, parsed, posts
 
 
@@ -277,8 +278,8 @@ def rss_tweets(items: DataFrame) -> DataFrame:
 
 
 def fresh_feeds(items: DataFrame, as_of: Column, max_age_days: int = THRESHOLDS.feed_max_age_days) -> DataFrame:
-    """Drop whole feeds whose newest entry is too old or undated (frozen feeds)."""
-    dated = items.withColumn("_at", dates.parse_datetime(F.col("published")))
+    """Drop whole feeds whose newest entry is too old or undated (frozen feeds). The items are stored, as they are needed twice."""
+    dated = cut_lineage(items.withColumn("_at", dates.parse_datetime(F.col("published"))), "feed-items")
     alive = dated.groupBy("feed").agg(F.max("_at").alias("_newest")).filter(
         F.unix_timestamp(as_of) - F.unix_timestamp("_newest") <= max_age_days * 86400)
     return dated.join(alive.select("feed"), "feed", "left_semi").drop("_at")
