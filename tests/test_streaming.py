@@ -162,3 +162,16 @@ def test_reclustering_sees_what_has_arrived(spark, tmp_path):
     assert len(state()) == 5
     hook(post("d1", "d2", "d3"), 3)
     assert state()["b1"] == ("a9", "full") and state()["d3"] == ("d1", "full")
+
+
+def test_a_table_that_is_a_folder_streams(spark, tmp_path):
+    from voxmart.plans import catalog_streaming as c
+    rows = spark.createDataFrame([(i, "text") for i in range(9)], "doc_id bigint, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        out, ck = str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-ck")
+        c.run(c.jobs.append_to(c.stream(spark, str(tmp_path / kind), "documents"), out, ck))
+        assert spark.read.parquet(out).count() == 9

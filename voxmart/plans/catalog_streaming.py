@@ -22,7 +22,8 @@ M = with_ctes("mentions")
 
 
 def stream(spark, sf, table):
-    return jobs.landing(spark, sf, A.table(spark, sf, table).schema, f"{table}.parquet")
+    """A table as a stream, be it one file or a folder of files: a pattern in the path makes both files that have landed."""
+    return jobs.landing(spark, f"{sf}/{table}[.]parquet", A.table(spark, sf, table).schema)
 
 
 def mention_stream(spark, sf):
