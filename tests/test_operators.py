@@ -222,6 +222,32 @@ def test_sparse_average_linkage_equals_brute_force(spark, component, limit):
     assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, wide, 0.35)
 
 
+@pytest.mark.parametrize("many", [0, 3, 256])
+def test_sparse_vectors_above_a_threshold_are_found_exactly(monkeypatch, many):
+    monkeypatch.setattr(terms, "MANY", many)
+    monkeypatch.setattr(terms, "PRODUCTS", 50)
+    rng = np.random.default_rng(many)
+    dense = rng.random((60, 40)) * (rng.random((60, 40)) < np.linspace(0.02, 0.95, 40))
+    dense[20:30] = dense[20] + 0.01 * rng.random((10, 40)) * (dense[20] > 0)
+    dense[5] = 0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    ids, weights = [np.flatnonzero(v) for v in dense], [v[v > 0] for v in dense]
+    held = terms.Held(ids[10:], weights[10:])
+    want = np.round(dense[:25] @ dense[10:].T, 12)
+    assert np.allclose(terms.dots(ids[:25], weights[:25], ids[10:], weights[10:]), want)
+    for threshold in (0.3, 0.65, 0.9):
+        a, b, dot = held.above(ids[:25], weights[:25], threshold)
+        assert sorted(zip(a, b)) == sorted(zip(*np.nonzero(want > threshold))) and np.allclose(dot, want[a, b])
+    none = terms.Held([], [])
+    assert not len(none.above(ids, weights, 0.3)[0]) and not len(held.above([], [], 0.3)[0])
+
+
+def test_the_length_of_a_term_vector_is_computed_once(spark):
+    rows = spark.createDataFrame([("a", "one two two"), ("b", "two three")], "source_id string, text string")
+    plan = terms.term_vectors(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt(aggregate(") == 1 and "_n" in plan.split("transform(", 1)[1].split("\n", 1)[0]
+
+
 @pytest.mark.parametrize("limit", [1, 4, 64])
 def test_sparse_neighbours_are_all_found(spark, limit):
     ids, texts = sparse_case(5, 90)
