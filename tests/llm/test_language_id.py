@@ -66,3 +66,9 @@ def test_odd_rows(spark, odd, nothing):
     kept = lid.keep_identified(odd)
     assert kept.columns == odd.columns and {1, 5, 7, 8} >= {r.doc_id for r in kept.filter(F.col("doc_id") != 6).collect()}
     assert lid.keep_identified(nothing).collect() == []
+
+
+def test_the_language_stage_sends_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "hello there", "en"), (2, "guten tag", "de")], "doc_id long, text string, lang string")
+    sent = lid.keep_identified(docs)._jdf.queryExecution().analyzed().toString().split("MapInArrow", 1)[1]
+    assert "identified" not in sent and "struct(" not in sent

@@ -173,26 +173,34 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model({r.lang: np.frombuffer(r.counts, np.int64) for r in rows})
 
 
+def judge(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is ambiguous, of each text."""
+    data, bounds = kernels.text_bytes(texts)
+    letters = with_letters(data, bounds)
+    pred, score, unsure = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.ones(len(letters), bool)
+    if model.langs and len(letters):
+        margin, size = model.margins(data, bounds)
+        best, p, lead = model.decode(margin, size)
+        pred[letters] = np.array(model.langs, object)[best[letters]]
+        score[letters] = p[letters]
+        unsure[letters] = ((lead < MARGIN) | (size < LETTERS))[letters]
+    return pred, score, unsure
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``docs`` with lang_pred, score and ambiguous."""
     names = [c for c in docs.columns if c not in OUT]
+    # A text that stays is sent to the tasks' Python once.
+    held, sent = (text, []) if text in names else ("identified", [F.col(text).alias("identified")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in kernels.slices(whole, "identified", BYTES)):
-            data, bounds = kernels.text_bytes(batch["identified"])
-            letters = with_letters(data, bounds)
-            pred, score, unsure = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.ones(len(letters), bool)
-            if model.langs and len(letters):
-                margin, size = model.margins(data, bounds)
-                best, p, lead = model.decode(margin, size)
-                pred[letters] = np.array(model.langs, object)[best[letters]]
-                score[letters] = p[letters]
-                unsure[letters] = ((lead < MARGIN) | (size < LETTERS))[letters]
+        for batch in (part for whole in batches for part in kernels.slices(whole, held, BYTES)):
+            pred, score, unsure = judge(batch[held], model)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(pred, pa.string()), pa.array(score),
                                               pa.array(unsure)], names=[*names, *OUT])
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(*names, F.col(text).alias("identified")).mapInArrow(work, schema)
+    return docs.select(*names, *sent).mapInArrow(work, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -203,9 +211,12 @@ def held_out(key: str = "doc_id") -> Column:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is told without ambiguity, learned from those of ``docs`` that are not held out."""
     model = learn(docs.filter(~held_out()).select("text", "lang"))
-    names = docs.columns
-    judged = identify(docs.select(F.struct(*names).alias("r"), F.col("text").alias("t")), model, "t")
-    return judged.filter(~F.col("ambiguous")).select("r.*")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in kernels.slices(whole, "text", BYTES)):
+            yield batch.filter(pa.array(~judge(batch["text"], model)[2]))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 @query("op10_language_id")
