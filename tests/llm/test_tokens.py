@@ -31,3 +31,11 @@ def test_random_texts():
         for _ in range(3000):
             t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
             assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_signs_after_something_else_than_a_letter_or_digit_are_noticed():
+    import itertools
+
+    for text in map("".join, itertools.chain.from_iterable(itertools.product("a1_.,\u00e9 \n", repeat=n) for n in range(5))):
+        loose = any(c in ".," and not (i and text[i - 1].isalnum()) for i, c in enumerate(text))
+        assert bool(tokens._LOOSE.search(text)) == loose, text
