@@ -489,3 +489,49 @@ def test_fresh_feeds_reads_items_once(spark):
     got = mappers.fresh_feeds(marked, F.lit("2024-01-06").cast("timestamp"), 30)
     assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["published"] for r in got.collect()) == ["2020-01-05 10:00:00", "2024-01-05 10:00:00"]
+
+
+def test_dense_neighbours_where_cells_do_not_help(spark, monkeypatch):
+    monkeypatch.setattr(issues, "CELLS", 64)
+    monkeypatch.setattr(issues, "NEAR", 2)
+    x = np.random.default_rng(2).normal(size=(60, 5))
+    x[40:44] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [f"v{i:02d}" for i in range(60)]
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in zip(ids, x)], "cid string, size bigint, mean array<double>")
+    dots = np.round(x @ x.T, 12)
+    np.fill_diagonal(dots, -1)
+    found = issues.nearest_neighbours(df, df, 0.0, chunk=16, pivots=4)
+    assert "visit" not in found._jdf.queryExecution().analyzed().toString()
+    assert {r.cid: r.nn for r in found.collect()} == {i: ids[int(row.argmax())] for i, row in zip(ids, dots) if row.max() > 0}
+
+
+@pytest.mark.parametrize("chained", [0, 1 << 22])
+def test_large_components_are_merged_alike_by_chains_and_rounds(spark, chained):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(3, 8)), 20, axis=0) + rng.normal(scale=0.5, size=(60, 8))
+    ids = [f"p{i:02d}" for i in range(60)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "source_id string, embedding array<double>")
+    got = issues.cluster(df, distance=0.35, component=4, chained=chained).toPandas()
+    assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, x, 0.35)
+
+
+def test_rows_and_columns_stay_connected_by_fewer_places():
+    near = np.random.default_rng(4).random((30, 40)) < 0.03
+    x, y = issues._spanning(near)
+    assert near[x, y].all() and set(y) == set(np.flatnonzero(near.any(0)))
+
+    def groups(x, y):
+        label = {n: n for n in [("r", i) for i in x] + [("c", j) for j in y]}
+        for _ in range(80):
+            for i, j in zip(x, y):
+                label[("r", i)] = label[("c", j)] = min(label[("r", i)], label[("c", j)])
+        return label
+    assert groups(x.tolist(), y.tolist()) == groups(*(v.tolist() for v in np.nonzero(near)))
+
+
+def test_task_functions_of_the_clustering_need_no_package(spark):
+    from pyspark import cloudpickle
+
+    for function in (issues._dots, issues._nearest, issues._spanning, terms.Held):
+        assert b"voxmart.session" not in cloudpickle.dumps(function) and b"voxmart.sources" not in cloudpickle.dumps(function)
