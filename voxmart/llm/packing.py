@@ -38,6 +38,7 @@ NODES = 400       # of the enumeration of one filling
 STEPS = 6_000     # of the whole search
 WIDTH = 4         # fillings of a sequence that are tried
 GROUP = 1_000     # pieces of one length that are numbered in one group, about
+CACHE = 250_000   # words whose ids a Python worker keeps, about 50 MB; they stay there through the stages that follow
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in a sequence, how many such sequences
 
@@ -205,7 +206,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, CACHE)
         for whole in batches:
             for batch in kernels.slices(whole, "t"):
                 rows: list[tuple] = []
