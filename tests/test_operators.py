@@ -516,6 +516,42 @@ def test_large_components_are_merged_alike_by_chains_and_rounds(spark, chained):
     assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, x, 0.35)
 
 
+def test_large_components_of_sparse_vectors_are_merged_without_rounds(spark, monkeypatch):
+    ids, texts = sparse_case(11)
+    vectors = terms.term_vectors(spark.createDataFrame(list(zip(ids, texts)), "source_id string, text string").repartition(3))
+    found = []
+    for chained in (1 << 22, 0):
+        got = issues.cluster(vectors, distance=0.5, component=4, chained=chained).toPandas()
+        found.append({frozenset(g) for g in got.groupby("cluster").source_id.apply(list)})
+    x = dense_tfidf(texts)
+    wide = np.hstack([x, np.eye(len(ids))[:, ~x.any(1)]])
+    assert found[0] == found[1] == brute_force(ids, wide, 0.5) and max(map(len, found[0])) > 4
+
+    def rounds(*_):
+        raise AssertionError("a component that fits a task was merged in rounds")
+    monkeypatch.setattr(issues, "nearest_neighbours", rounds)
+    issues.cluster(vectors, distance=0.5, component=4)
+
+
+def test_means_of_merged_sparse_clusters():
+    rng = np.random.default_rng(3)
+    x = rng.random((12, 30)) * (rng.random((12, 30)) < 0.3)
+    x[4] = 0
+    means = terms.Means([np.flatnonzero(r) for r in x], [r[r > 0] for r in x])
+    size, out = rng.integers(1, 4, 12).astype(float), []
+    for i, j in ((0, 3), (0, 7), (2, 4), (0, 2)):
+        means.merge(i, j, size)
+        x[i] = (x[i] * size[i] + x[j] * size[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        out.append(j)
+        others = np.setdiff1d(np.arange(12), [i, *out])
+        assert np.allclose(means.dots(i)[others], (x @ x[i])[others])
+    left = np.array([0, 1, 5, 8, 9])
+    means.keep(left)
+    for k, i in enumerate(left):
+        assert np.allclose(np.delete(means.dots(k), k), np.delete(x[left] @ x[i], k))
+
+
 def test_rows_and_columns_stay_connected_by_fewer_places():
     near = np.random.default_rng(4).random((30, 40)) < 0.03
     x, y = issues._spanning(near)
