@@ -39,3 +39,20 @@ def test_signs_after_something_else_than_a_letter_or_digit_are_noticed():
     for text in map("".join, itertools.chain.from_iterable(itertools.product("a1_.,\u00e9 \n", repeat=n) for n in range(5))):
         loose = any(c in ".," and not (i and text[i - 1].isalnum()) for i, c in enumerate(text))
         assert bool(tokens._LOOSE.search(text)) == loose, text
+
+
+def test_words_of_letters_go_to_the_model_alone(monkeypatch):
+    path = tokens.public("byte_bpe_50k.json")
+    lib, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    text = "naive naïve Übermäßig \u00e9reè ÀÖØöøÿĀſƀɏ " + " ".join(map(chr, [*range(0xc0, 0xd7), *range(0xd8, 0xf7), *range(0xf8, 0x250)]))
+    want = lib.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(enc, "_library", None)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
+
+
+def test_signs_of_bytes_are_those_of_the_library():
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for c in map(chr, [*range(1, 0x800), 0x1f642]):
+        assert level.pre_tokenize_str(c)[0][0] == c.encode().decode("latin-1").translate(tokens._SIGNS), c
