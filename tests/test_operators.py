@@ -571,3 +571,49 @@ def test_task_functions_of_the_clustering_need_no_package(spark):
 
     for function in (issues._dots, issues._nearest, issues._spanning, terms.Held):
         assert b"voxmart.session" not in cloudpickle.dumps(function) and b"voxmart.sources" not in cloudpickle.dumps(function)
+
+
+def test_texts_of_one_key_are_one_text(spark):
+    rows = [("a", "one two"), ("b", "one two two three"), ("a", "two three"), (None, "four five"), (None, "five"), ("c", None), ("d", "four five five")]
+    got = {r["cid"]: (r["ids"], [round(x, 9) for x in r["mean"]]) for r in terms.term_vectors(
+        spark.createDataFrame(rows, "cid string, text string").repartition(4), key="cid").collect()}
+    assert got["a"] == got["b"] and got[None] == got["d"] and got["c"] == ([], []) and len(got) == 5
+    w = np.array([1 * np.log(5 / 3) + 1, 1 * np.log(5 / 3) + 1, 2 * (np.log(5 / 3) + 1)])  # 4 keys that are not null; each term has two texts
+    assert np.allclose(sorted(got["a"][1]), sorted(w / np.linalg.norm(w)))
+
+
+def test_sparse_blocks_meet_without_copies(spark, monkeypatch):
+    ids, texts = sparse_case(3, 90)
+    v = terms.term_vectors(spark.createDataFrame(list(zip(ids, texts)), "cid string, text string"), key="cid").withColumn("size", F.lit(1).cast("long"))
+    plans, counts, real = {}, {}, terms.cut_lineage
+
+    def noted(df, name, *a, **k):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        out = real(df, name, *a, **k)
+        counts[name] = sum(len(r["cids"]) for r in out.collect()) if name == "blocks" else 0
+        return out
+    monkeypatch.setattr(terms, "cut_lineage", noted)
+    found = issues.nearest_neighbours(v, v, 0.3, chunk=4, edge=terms.frequent_from(v))
+    assert "CartesianProduct" in plans["met"] and "Exchange" not in plans["met"] and counts["blocks"] == 90
+    dots = np.round(dense_tfidf(texts) @ dense_tfidf(texts).T, 9)
+    np.fill_diagonal(dots, 0)
+    assert {r.cid: round(r["dot"], 9) for r in found.collect()} == {i: dots[k].max() for k, i in enumerate(ids) if dots[k].max() > 0.3}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from voxmart import session
+    before = spark.conf.get(session.CLEANUP)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle")}
+    was = held()
+    out = session.cut_lineage(spark.range(1000).repartition(5, "id"), "moved")
+    for _ in range(100):
+        if not (more := held() - was):
+            break
+        time.sleep(0.1)
+    assert not more and spark.conf.get(session.CLEANUP) == before and out.count() == 1000
