@@ -617,3 +617,25 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not more and spark.conf.get(session.CLEANUP) == before and out.count() == 1000
+
+
+def kept_tables(spark):
+    """Names of the intermediate tables that are there now."""
+    import collections
+    import os
+
+    from voxmart.session import scratch_root
+    root = scratch_root(spark).removeprefix("file:")
+    return collections.Counter(n.rsplit("-", 1)[0] for n in os.listdir(root)) if os.path.isdir(root) else collections.Counter()
+
+
+def test_clustering_keeps_vectors_once(spark):
+    ids, texts = sparse_case(2)
+    before = kept_tables(spark)
+    vectors = terms.term_vectors(spark.createDataFrame(list(zip(ids, texts)), "source_id string, text string"))
+    got = issues.cluster(vectors, distance=0.35).toPandas()
+    more = kept_tables(spark) - before
+    assert more["weights"] == 1 and not more.keys() & {"batches", "vocabulary", "vectors", "first", "blocks", "placed", "merged"}
+    x = dense_tfidf(texts)
+    wide = np.hstack([x, np.eye(len(ids))[:, ~x.any(1)]])
+    assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, wide, 0.35)
