@@ -639,3 +639,15 @@ def test_clustering_keeps_vectors_once(spark):
     x = dense_tfidf(texts)
     wide = np.hstack([x, np.eye(len(ids))[:, ~x.any(1)]])
     assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, wide, 0.35)
+
+
+def test_rounds_of_a_clustering_leave_no_tables(spark):
+    ids, texts = sparse_case(2)
+    before = kept_tables(spark)
+    vectors = terms.term_vectors(spark.createDataFrame(list(zip(ids, texts)), "source_id string, text string"))
+    got = issues.cluster(vectors, distance=0.35, component=0, chained=0).toPandas()
+    more = kept_tables(spark) - before
+    assert more["met"] > 3 and max(more["alive"], more["neighbours"], more["pairs"]) <= 2 and more["member"] == 1
+    x = dense_tfidf(texts)
+    wide = np.hstack([x, np.eye(len(ids))[:, ~x.any(1)]])
+    assert {frozenset(g) for g in got.groupby("cluster").source_id.apply(list)} == brute_force(ids, wide, 0.35)
